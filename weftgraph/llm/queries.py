@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, exact_dedup, simhash_dedup, url_filter
+import public_tokenizers
+
+from weftgraph.llm import decontaminate, exact_dedup, secret_scan, sentencepiece_codec, simhash_dedup, token_counts, url_filter
 
 RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
@@ -80,5 +82,41 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from d window w as (partition by t order by n desc, doc_id)
 """
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op3_decontamination": op3_decontamination, "op7_simhash": op7_simhash, "op8_exact_dedup": op8_exact_dedup}
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan_secrets(docs, carry=["doc_id"])
+    base = F.filter("spans", lambda s: s.kind < 3)
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
+
+    return found.select(
+        "row.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_scan.span_text(base, secret_scan.KINDS), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("spans"), secret_scan.KINDS).alias("spans"),
+    )
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentencepiece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id"])
+    return out.select("row.doc_id", "n_pieces", "n_byte_pieces", "round_trip", "ids")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
+    return out.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_decontamination": op3_decontamination,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_simhash": op7_simhash,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op10_token_counts": op10_token_counts,
+}
 SQL = {"op1_url_filters": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_exact_dedup": OP8_SQL}
