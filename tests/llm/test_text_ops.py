@@ -9,7 +9,7 @@ import struct
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from weftgraph.llm import queries, secret_scan, sentencepiece_codec, token_counts
+from weftgraph.llm import pii, queries, secret_scan, sentencepiece_codec, token_counts
 
 ODD = [None, "", " ", "\n\t", "é", "日本語 テキスト", "a" * 70, "x▁y", "it's we'LL I'M 'Sx", "<|endoftext|> end", "😀 ok", "İstanbul ß Σ", "tab\there  two   three "]
 SCHEMA = "doc_id long, text string, ids string, row string, spans string"
@@ -134,3 +134,45 @@ def test_sentencepiece_against_library_and_round_trip(spark, sf_dir):
     back = sentencepiece_codec.decode_pieces(encoded.select(F.col("row.text").alias("want"), "ids"), path).select("row.want", "text").collect()
     assert all(r.text == (r.want or "").replace("▁", " ") for r in back)
     assert sentencepiece_codec.encode_pieces(docs.limit(0), path).count() == 0
+
+
+def brute_pii(text):
+    text, out = text or "", []
+    out += [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 12 <= len(d) <= 19 and sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(d)) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out)
+
+
+def test_pii_base_spans_brute_force_and_field(spark, sf_dir):
+    rng = random.Random(4)
+    parts = ["@", ".", "a", "b.c", "-", "1", "22", "255", "256", "+", " ", "(", ")", "é", "4111111111111111", "4111 1111-1111 1111", "x@y.z", "1.2.3.4", "+1 (988) 555-2485", "007.1.1.1"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    for t in texts:
+        assert pii.base_spans(t) == brute_pii(t), t
+    call = "call +1 (988) 555-2485 now, or 9885552485 later; 988-555-2485 too. Version 2.0. is out"
+    docs = docs_of(spark, [*ODD, *texts[:200], call, "a" * 200000 + "1", "1" * 100000, "@" * 5000])
+    docs = docs.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), allowMissingColumns=True)
+    got = pii.find_pii(docs).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        if len(r.row.text or "") < 50000:
+            assert [tuple(s) for s in r.spans if s.kind < 4] == brute_pii(r.row.text)
+    spans = next(r for r in got if r.row.text == call).spans
+    assert {call[s.start : s.end] for s in spans if s.kind == 7} == {"9885552485", "988-555-2485"}
+    assert pii.find_pii(docs.limit(0)).count() == 0 and pii.find_pii(docs.where("doc_id = 0")).count() > 0
+
+
+def test_loopy_messages_equal_enumeration_on_a_tree():
+    rng = __import__("numpy").random.default_rng(1)
+    np = __import__("numpy")
+    field = pii.Field(rng.normal(size=(pii.FEATURES, pii.LABELS)), rng.normal(size=(5, 5)), np.zeros((5, 5)))
+    n = pii.Nodes([(0, 2), (3, 5), (6, 8)], rng.normal(size=(3, pii.FEATURES)), np.zeros(3, np.int64), ["a", "b", "c"], np.ones((3, 5), bool))
+    u = n.features @ field.unary
+    joint = np.exp(u[0][:, None, None] + u[1][None, :, None] + u[2][None, None] + field.chain[:, :, None] + field.chain[None])
+    want = np.stack([joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))]) / joint.sum()
+    assert np.allclose(pii.marginals(n, field), want, atol=1e-3)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from weftgraph.llm import decontaminate, exact_dedup, secret_scan, sentencepiece_codec, simhash_dedup, token_counts, url_filter
+from weftgraph.llm import decontaminate, exact_dedup, pii, secret_scan, sentencepiece_codec, simhash_dedup, token_counts, url_filter
 
 RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
@@ -104,6 +104,20 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_pieces", "n_byte_pieces", "round_trip", "ids")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, carry=["doc_id"])
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
+
+    return found.select(
+        "row.doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.BASE)],
+        F.sha2(secret_scan.span_text(F.filter("spans", lambda s: s.kind < len(pii.BASE)), pii.KINDS), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("spans"), pii.KINDS).alias("spans"),
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
@@ -117,6 +131,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
 }
 SQL = {"op1_url_filters": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_exact_dedup": OP8_SQL}
