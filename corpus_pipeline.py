@@ -1,6 +1,70 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: five stages over ``documents``, each a Spark job over all that the stage before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet to the shared
+folder and reads it back for the next stage. All stages but the last return the columns of ``documents``; the last
+returns doc_id and the encoded text. Null ids, null texts, repeated rows and extra columns pass through each stage as
+its operator defines.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from weftgraph.llm import decontaminate, exact_dedup, sentencepiece_codec, simhash_dedup, toxicity
+from weftgraph.storage import write_table
+
+#: Words of a shingle in the near-duplicate stage.
+NEAR_SHINGLE = 5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject (score below 0.5)."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.where("predicted = 0").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose texts are equal but for white space: the longest, then the one of least id."""
+    groups = exact_dedup.exact_groups(docs)
+    return groups.where("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one of least id."""
+    return simhash_dedup.keep_first(docs, shingle=NEAR_SHINGLE)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which fewer than one word in twenty lies in a benchmark window."""
+    judged = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13)
+    clean = judged.where(~decontaminate.contaminated(F.col("n_hit"), F.col("n_words")))
+    return clean.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, n_byte_pieces, round_trip and the piece ids of each document."""
+    out = sentencepiece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id"])
+    return out.select("row.doc_id", "n_pieces", "n_byte_pieces", "round_trip", "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", encode),
+]
+
+#: Toxicity and encoding cannot be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; the rows of the last one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

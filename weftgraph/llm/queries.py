@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from weftgraph.llm import decontaminate, exact_dedup, pii, secret_scan, sentencepiece_codec, simhash_dedup, token_counts, url_filter
+from weftgraph.llm import decontaminate, exact_dedup, pii, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
@@ -65,6 +65,13 @@ from d left join hit using (doc_id) left join it using (doc_id)
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.repeated_spans(docs, length=400, carry=["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return out.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     groups = simhash_dedup.near_groups(docs, shingle=3, carry=["doc_id"])
@@ -83,6 +90,13 @@ from d window w as (partition by t order by n desc, doc_id)
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model, carry=["doc_id"])
+    return scored.select("row.doc_id", (toxicity.fold(F.col("row.doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan_secrets(docs, carry=["doc_id"])
@@ -128,7 +142,9 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_decontamination": op3_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
