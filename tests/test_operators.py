@@ -109,7 +109,7 @@ def test_routes_and_contracts(spark):
     t = spark.createDataFrame([(1, "a.b.c"), (2, "x${y}"), (3, "q-r")], "transport_id int, topic string")
     lis = spark.createDataFrame([(7, "a.b"), (8, "q-r"), (9, "a.bc")], "listener_id int, topic string")
     assert {tuple(x) for x in contracts.match_topics(t, lis).collect()} == {(1, 7), (3, 8)}
-    cfg = spark.sql("select map('A.b', '1') as m, 'x ${a.B:9} ${none:7} ${zip}!' as t")
+    cfg = spark.createDataFrame([({"A.b": "1"}, "x ${a.B:9} ${none:7} ${zip}!")], "m map<string,string>, t string")
     assert cfg.select(routes.resolve_placeholders(F.col("t"), F.col("m")).alias("r")).first().r == "x 1 7 !"
 
 
