@@ -29,7 +29,8 @@ MARK = "▁"
 ZIPF_OFFSET, ZIPF_POWER = 2.7, 1.0
 #: What a character without a piece costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS, CACHE_CHARS = 300_000, 64
+#: Segments in each half of a worker's cache, and the longest one that it keeps.
+CACHE_SEGMENTS, CACHE_CHARS = 600_000, 64
 _SEGMENT = re.compile(r" *[^ ]+| +")
 
 
@@ -43,6 +44,7 @@ class Pieces(NamedTuple):
     texts: list[bytes]
     bytes_: list[int]
     by_segment: bool
+    longest: int  # bytes of the longest piece
 
 
 def read_pieces(path: str) -> tuple[list[str], list[float], list[int], list[int]]:
@@ -62,7 +64,7 @@ def read_pieces(path: str) -> tuple[list[str], list[float], list[int], list[int]
     return texts, scores, normal, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
-def build_trie(keys: list[tuple[bytes, int]]) -> tuple[list[int], list[int], list[int]]:
+def build_trie(keys: list[tuple[bytes, int]]) -> list[list[int]]:
     """Double array of the keys: the child of state s for byte b is t = base[s] + b if check[t] == s; value[t] is the key's id or -1."""
     size, window = 1 << 16, 4096
     base, check, value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
@@ -98,7 +100,9 @@ def build_trie(keys: list[tuple[bytes, int]]) -> tuple[list[int], list[int], lis
         base[state] = at
         check[at + np.array(labels)] = state
         queue.extend((at + x, a, z, depth + 1) for x, a, z in zip(labels, cuts, cuts[1:]))
-    return base.tolist(), check.tolist(), value.tolist()
+    end = int(np.flatnonzero(check >= 0).max()) + 257  # so that no step leaves the arrays
+    pad = max(0, end - size)
+    return [np.concatenate([x, np.full(pad, f, np.int64)])[:end].tolist() for x, f in ((base, 0), (check, -1), (value, -1))]
 
 
 def load_pieces(path: str) -> Pieces:
@@ -107,41 +111,44 @@ def load_pieces(path: str) -> Pieces:
     raw = [t.replace(MARK, " ").encode() for t in texts]
     for b, i in enumerate(byte_ids):
         raw[i] = bytes([b])
-    return Pieces(base, check, value, scores, raw, byte_ids, not any(re.search(f"[^{MARK}]{MARK}", texts[i]) for i in normal))
+    apart = not any(re.search(f"[^{MARK}]{MARK}", texts[i]) for i in normal)
+    return Pieces(base, check, value, scores, raw, byte_ids, apart, max((len(texts[i].encode()) for i in normal), default=0))
 
 
 def viterbi(segment: bytes, p: Pieces, unknown: float) -> list[int]:
     """Ids of the best path through the pieces of ``segment``; characters without a piece give their bytes' ids."""
     base, check, value, scores = p.base, p.check, p.value, p.scores
-    n, size = len(segment), len(p.check)
-    none = float("-inf")
-    best, back = [none] * (n + 1), [(0, -1)] * (n + 1)
+    n, none = len(segment), float("-inf")
+    best, start, via = [none] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
     best[0] = 0.0
     for i in range(n):
         here = best[i]
         if here == none:
             continue
         lead = segment[i]
-        char_end = i + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
-        state, known = 0, False
-        for k in range(i, n):
-            t = base[state] + segment[k]
-            if t >= size or check[t] != state or t == 0:
+        char_end = i + 1 if lead < 0x80 else i + 2 if lead < 0xE0 else i + 3 if lead < 0xF0 else i + 4
+        state, end, known = 0, i, False
+        for byte in segment[i : i + p.longest]:
+            t = base[state] + byte
+            if check[t] != state:
                 break
-            state, v = t, value[t]
+            state = t
+            end += 1
+            v = value[t]
             if v >= 0:
                 score = here + scores[v]
-                if score > best[k + 1]:
-                    best[k + 1], back[k + 1] = score, (i, v)
-                known = known or k + 1 == char_end
+                if score > best[end]:
+                    best[end], start[end], via[end] = score, i, v
+                if end == char_end:
+                    known = True
         if not known and here + unknown > best[char_end]:
-            best[char_end], back[char_end] = here + unknown, (i, -1)
+            best[char_end], start[char_end], via[char_end] = here + unknown, i, -1
     out: list[int] = []
     at = n
     while at:
-        start, v = back[at]
-        out.extend([v] if v >= 0 else [p.bytes_[b] for b in reversed(segment[start:at])])
-        at = start
+        i, v = start[at], via[at]
+        out.extend([v] if v >= 0 else [p.bytes_[b] for b in reversed(segment[i:at])])
+        at = i
     return out[::-1]
 
 
@@ -152,12 +159,14 @@ class Codec:
         self.p = pieces
         self.unknown = min(pieces.scores[v] for v in pieces.value if v >= 0) - UNKNOWN_PENALTY
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _miss(self, segment: str) -> bytes:
-        ids = array("i", viterbi(segment.replace(" ", MARK).encode(), self.p, self.unknown)).tobytes()
+        """From the older half of the cache, else by the trie; then it is in the younger half."""
+        ids = self.older.get(segment) or array("i", viterbi(segment.replace(" ", MARK).encode(), self.p, self.unknown)).tobytes()
         if len(segment) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_SEGMENTS:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[segment] = ids
         return ids
 
