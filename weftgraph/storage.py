@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 #: Rows that a broadcast side may have; callers broadcast narrow rows, so this is some tens of MB.
 BROADCAST_ROWS = 200_000
 
+#: Deletes an execution's shuffle files when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local: dict[str, str] = {}
+_tables: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -38,20 +42,42 @@ def write_table(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     """Write ``df`` once to the shared folder and return a scan of what was written."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    # what the table's own shuffles hold is not needed once it is written
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    _tables.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete what ``write_table`` wrote; the frame and all that reads it end here."""
     path = getattr(df, "_weft_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def written_tables() -> list[str]:
+    """Paths of the tables that this process has written so far."""
+    return list(_tables)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        if path in _tables:
+            _tables.remove(path)
+            _delete(spark, path)
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
