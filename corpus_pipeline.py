@@ -8,17 +8,37 @@ its operator defines.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, exact_dedup, sentencepiece_codec, simhash_dedup, toxicity
-from weftgraph.storage import write_table
+from weftgraph.storage import drop_paths, write_table, written_tables
+
+#: Words of a shingle in the near-duplicate stage: fingerprints of each width are compared in turn.
+NEAR_SHINGLES = (3, 5)
+
+
+_scratch: list[str] = []
 
-#: Words of a shingle in the near-duplicate stage.
-NEAR_SHINGLE = 5
 
+def stage(work):
+    """A stage: the working tables of the stage before it are deleted first (its result is a table by then)."""
 
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_paths(spark, _scratch)
+        before = set(written_tables())
+        out = work(spark, docs, sf_dir)
+        _scratch[:] = [p for p in written_tables() if p not in before]
+        return out
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject (score below 0.5)."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,17 +46,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose texts are equal but for white space: the longest, then the one of least id."""
     groups = exact_dedup.exact_groups(docs)
     return groups.where("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of least id."""
-    return simhash_dedup.keep_first(docs, shingle=NEAR_SHINGLE)
+    """One document of each group of near duplicates by either width of shingle: the one of least id."""
+    for width in NEAR_SHINGLES:
+        docs = write_table(simhash_dedup.keep_first(docs, shingle=width), "near")
+    return docs
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which fewer than one word in twenty lies in a benchmark window."""
     judged = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13)
@@ -44,6 +69,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return clean.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, n_byte_pieces, round_trip and the piece ids of each document."""
     out = sentencepiece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id"])
@@ -65,6 +91,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the rows of the last one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, work in STAGES:
+        docs = write_table(work(spark, docs, sf_dir), f"stage-{name}")
     return docs
