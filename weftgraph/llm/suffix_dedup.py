@@ -196,6 +196,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, c
         whole.select("rid", "lo", "n", F.lit(None).cast("long").alias("core")).unionByName(fine.select("rid", "lo", "n", "core"))
         .groupBy("rid").agg(F.collect_list(F.struct("lo", "n", F.coalesce("core", F.lit(0)).alias("core"), F.col("core").isNotNull().alias("fine"))).alias("ss"))
     )
+    per_doc = write_table(per_doc, "flagged", compression="zstd")
+    drop_table(again)
     wide = base.select("rid", "row", "body").join(per_doc, "rid", "left").select("rid", "row", "body", "ss")
     listed = T.StructType([
         T.StructField("rid", T.LongType()), row, T.StructField("n_bytes", T.LongType()), T.StructField("body", T.BinaryType()), T.StructField("w_lo", _INTS), T.StructField("w_n", _INTS),
@@ -226,7 +228,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, c
 
     found = write_table(wide.mapInArrow(list_windows, listed), "windows", compression="zstd")
     drop_table(base)
-    drop_table(again)
+    drop_table(per_doc)
     single = found.select("rid", F.explode(F.arrays_zip("x", "core", "h")).alias("s")).select("rid", "s.*")
     twice = single.groupBy("core", "h").agg(F.count("*").alias("times")).where("times > 1").select("core", "h")
     hits = single.join(twice, ["core", "h"]).groupBy("rid").agg(F.collect_list("x").alias("hx"))
