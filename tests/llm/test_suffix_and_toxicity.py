@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -73,17 +74,26 @@ def test_op6_query_brute_force(spark, sf_dir):
 
 def test_decoding_under_the_model():
     words = ["idiot", "moron", "stupid", "worthless", "the", "there", "mother", "clown", "radio", "motor"]
-    counts = Counter()
-    for w in words:
-        p = "^^" + w + "^"
-        counts.update((p[i], p[i + 1], p[i + 2]) for i in range(len(p) - 2))
-    r = toxicity.Restorer(toxicity.char_model({k: 50.0 * v for k, v in counts.items()}))
+    counts = 50 * toxicity.count_trigrams([" ".join(words)])
+    r = toxicity.Restorer(toxicity.char_model(dict(enumerate(counts.tolist()))))
     for bad, good in {"1d10t": "idiot", "i d i o t": "idiot", "m.o.r.o.n": "moron", "stuuuupid": "stupid", "cl0wn": "clown", "m0r0n!": "moron"}.items():
         assert good in r.words(f"so {bad} there"), bad
     assert toxicity.single(next(iter(r.words("w0rthl3ss") - {"w", "rthl", "ss"}))) == toxicity.single("worthless")
     assert r.restore("The mother in 2023") == "the mother in 2023"
 
 
+def test_trigram_counts(spark):
+    texts = ["Où est-il? l'Été, 12 日本", "", "  a\tb ", "x", None, "aa  aa\n"]
+    size, at = len(toxicity.LETTERS) + 2, {c: k for k, c in enumerate(toxicity.LETTERS + toxicity.OTHER + toxicity.EDGE)}
+    want = Counter()
+    for word in re.findall(r"[^\W\d_]+", " ".join(t or "" for t in texts).lower()):
+        k = [at["^"]] * 2 + [at.get(c, at["?"]) for c in word] + [at["^"]]
+        want.update((a * size + b) * size + c for a, b, c in zip(k, k[1:], k[2:]))
+    got = toxicity.trigram_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r.gram: r.n for r in got} == dict(want)
+    assert not toxicity.count_trigrams([]).any() and not toxicity.count_trigrams(["", "..."]).any()
+
+
 def test_held_out_accuracy_and_odd_input(spark):
     rng = random.Random(6)
     base = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
