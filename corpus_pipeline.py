@@ -14,11 +14,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, exact_dedup, sentencepiece_codec, simhash_dedup, toxicity
+from weftgraph.llm import decontaminate, exact_dedup, jaccard_dedup, sentencepiece_codec, toxicity
 from weftgraph.storage import drop_paths, write_table, written_tables
 
-#: Words of a shingle in the near-duplicate stage: fingerprints of each width are compared in turn.
-NEAR_SHINGLES = (3, 5)
+#: Words of a shingle in the near-duplicate stage.
+NEAR_WORDS = 5
 
 
 _scratch: list[str] = []
@@ -55,10 +55,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates by either width of shingle: the one of least id."""
-    for width in NEAR_SHINGLES:
-        docs = write_table(simhash_dedup.keep_first(docs, shingle=width), "near")
-    return docs
+    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more: the one of least id."""
+    return jaccard_dedup.keep_first(docs, shingle=NEAR_WORDS)
 
 
 @stage

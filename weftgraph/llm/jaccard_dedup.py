@@ -1,0 +1,121 @@
+"""Near-dedup by the Jaccard similarity of word shingles: every pair of at least ``SIMILAR`` is linked, and no other.
+
+Shingles are ordered by how many texts hold them, rarest first. Two sets of similarity t or more share one of their
+first n - ceil(t n) + 1 shingles, so texts meet on those only (prefix filter), and the similarity is verified on whole
+sets. A text with fewer than ceil(t n) shingles that any other text holds has no partner and leaves at once. In large
+groups a few pivots link most members first; then all pairs of different components are compared. Nothing is sampled
+or capped.
+
+Defined results: null and empty texts, and texts of white space, are alike; texts of fewer words than a shingle are one
+shingle; null ids never name a component unless all ids in it are null; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weftgraph.llm.simhash_dedup import SEED
+from weftgraph.operators.components import connected_components
+from weftgraph.storage import bounded_broadcast, write_table
+
+#: Least similarity, as a fraction (4 / 5).
+SIMILAR = (4, 5)
+#: Rounds in which members of groups are compared with pivots, and pivots a member and round.
+PIVOT_ROUNDS, PIVOTS = 3, 4
+
+
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of ``text`` (UTF-8)."""
+    words = (text or b"").lower().split()
+    digest = xxhash.xxh64_intdigest
+    hashes = {digest(b" ".join(words[k : k + shingle]), SEED) for k in range(max(1, len(words) - shingle + 1))}
+    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5) -> DataFrame:
+    """Written table: rid, row, id, sid (hash of the set), hs (the set)."""
+    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
+    out = T.StructType([*(f for f in base.schema.fields if f.name != "text"), T.StructField("sid", T.LongType()), T.StructField("hs", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                b = whole.slice(at, 256)
+                sets = [shingle_set(t.as_py(), shingle) for t in b.column(2)]
+                sid = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sid), pa.array(sets, pa.list_(pa.int64()))], names=["row", "id", "sid", "hs"])
+
+    return write_table(base.mapInArrow(run, out).withColumn("rid", F.monotonically_increasing_id()), "sets")
+
+
+def _possible(sets: DataFrame) -> DataFrame:
+    """Written table of the sets that may have a partner: sid, n, common (shingles that other sets hold too), keys (its prefix of them)."""
+    num, den = SIMILAR
+    each = sets.select("sid", F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    shared = write_table(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    held = each.join(shared, "h").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h")))["h"].alias("common"))
+    # shingles of one text stand first in the order: what is left of the prefix
+    least = F.expr(f"(n * {num} + {den - 1}) div {den}").cast("int")
+    own = held.select("sid", "n", "common", (F.size("common") - least + 1).alias("m")).where("m > 0")
+    return write_table(own.select("sid", "n", "common", F.slice("common", 1, F.col("m")).alias("keys")), "possible")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (src, dst) whose similarity suffices."""
+    num, den = SIMILAR
+    a = sets.select(F.col("sid").alias("src"), F.col("n").alias("na"), F.col("common").alias("ca"))
+    b = sets.select(F.col("sid").alias("dst"), F.col("n").alias("nb"), F.col("common").alias("cb"))
+    both = F.size(F.array_intersect("ca", "cb"))
+    return pairs.join(a, "src").join(b, "dst").where(both * (num + den) >= (F.col("na") + F.col("nb")) * num).select("src", "dst")
+
+
+def similar_links(sets: DataFrame) -> DataFrame:
+    """Links (src, dst) between distinct sets (sid, hs), all verified; every pair that is similar enough is connected through them."""
+    num, den = SIMILAR
+    possible = _possible(sets)
+    index = possible.select("sid", "n", F.explode("keys").alias("key"))
+    met = index.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    index = write_table(index.join(met, "key").select("key", "sid", "n", F.col("sid").alias("c")), "index")
+    links = None
+
+    def fits(a: str, b: str):
+        return (F.greatest(a, b) * num <= F.least(a, b) * den) & (F.col("c") != F.col("d"))
+
+    for k in range(PIVOT_ROUNDS):
+        pivot = index.groupBy("key").agg(F.min_by(F.struct(F.col("sid").alias("dst"), F.col("n").alias("nb"), F.col("c").alias("d")), F.xxhash64("key", "sid", F.lit(k))).alias("p"))
+        tests = index.join(pivot.select("key", "p.*"), "key").where(fits("n", "nb")).select(F.col("sid").alias("src"), "dst", F.xxhash64("key", F.lit(k)).alias("o"))
+        some = tests.groupBy("src").agg(F.slice(F.array_sort(F.collect_set(F.struct("o", "dst"))), 1, PIVOTS)["dst"].alias("ds"))
+        pairs = some.select("src", F.explode(F.array_distinct("ds")).alias("dst"))
+        found = write_table(_verified(pairs, possible), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = connected_components(links)
+        near = index.select("key", "sid", "n").join(labels, F.col("sid") == F.col("node"), "left")
+        index = write_table(near.select("key", "sid", "n", F.coalesce("component", "sid").alias("c")), "index")
+    # what the pivots left: every pair of different components
+    mixed = index.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    rest = write_table(index.join(mixed, "key", "left_semi"), "rest")
+    other = rest.select("key", F.col("sid").alias("dst"), F.col("n").alias("nb"), F.col("c").alias("d"))
+    pairs = rest.join(other, "key").where((F.col("sid") < F.col("dst")) & fits("n", "nb")).select(F.col("sid").alias("src"), "dst").distinct()
+    return links.unionByName(write_table(_verified(pairs, possible), "links"))
+
+
+def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of similar ones: the one with the least id (ties: any one row)."""
+    base = shingle_sets(docs, text_col, id_col, shingle)
+    nodes = write_table(base.groupBy("sid").agg(F.min("id").alias("least_id"), F.min("rid").alias("first"), F.count("*").alias("size")), "nodes")
+    again = base.select("sid", "rid").join(nodes.where("size > 1").select("sid", "first"), "sid").where("rid != first").select("rid")
+    labels = connected_components(similar_links(base.join(bounded_broadcast(again), "rid", "left_anti").select("sid", "hs")))
+    rooted = nodes.join(labels, nodes.sid == labels.node, "left").select(F.col("sid").alias("k"), "least_id", F.coalesce("component", "sid").alias("root"))
+    rooted = write_table(rooted, "rooted")
+    heads = rooted.groupBy("root").agg(F.min("least_id").alias("head"))
+    known = rooted.join(heads, "root").select("k", "root", "head")
+    first = base.select("sid", "rid", "id").join(known, F.col("sid") == F.col("k")).where(F.col("id").eqNullSafe(F.col("head")))
+    keep = first.groupBy("root").agg(F.min("rid").alias("rid")).select("rid")
+    return base.select("row", "rid").join(keep, "rid", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
