@@ -1,8 +1,9 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
-Suspicious surfaces (letters mixed with digits or symbols, runs of a letter, single characters spelled out with
-separators) span a lattice: each character may be itself, a letter that it stands for, a repetition or a separator.
-Viterbi decoding under a character trigram model picks the likeliest word; the model's counts come from the words of
+Suspicious surfaces (letters mixed with digits or symbols, doubled letters and longer runs, single characters spelled
+out with separators) span a lattice: each character may be itself, a letter that it stands for or a repetition, and a
+separator may stand within a word or between two. Viterbi decoding under a character trigram model picks the likeliest
+words, in time linear in the length of the surface; the model's counts come from the words of
 all documents. The restored words are then scored by a logistic model over a lexicon: the words whose presence goes with the label
 and their weights come from a bounded sample of the labelled documents (``fit_rows``, by hash of the id).
 
@@ -38,21 +39,25 @@ STANDS_FOR = {
 #: a symbol left as it is.
 SUBSTITUTE, REPEAT, DROP, KEEP_SYMBOL = 0.7, 0.4, 1.5, 12.0
 PUNCTUATION = "!|+(@$"
+SEPARATORS = " .*_-"
+#: Costs of a separator, and of two or more in a row: within a word, between words.
+WITHIN, BETWEEN = (0.0, 3.0), (1.0, 0.0)
 #: Marks around a word that stand for no letter.
 MARKS = ".,;:?'\"”“’‘…)[]{}<>-–—*_"
 FIT_ROWS, LEXICON, LEAST_DOCS = 30_000, 3000, 3
 CACHE_WORDS = 200_000
+#: Longest surface that is cached; longer ones are decoded each time.
+CACHE_CHARS = 80
 #: Characters whose trigrams are counted at once.
 BLOCK_CHARS = 1 << 18
 
 _SIGNS = re.escape("".join(STANDS_FOR))
 _LETTER = r"[^\W\d_]"
-#: letters and stand-ins mixed; a letter three times in a row; single characters spelled out
+#: letters and stand-ins mixed; a letter three times, or twice, in a row; single characters spelled out
 _MIXED = re.compile(rf"(?:{_LETTER}|[{_SIGNS}*_])*(?:{_LETTER}[{_SIGNS}]+|[{_SIGNS}]+{_LETTER})(?:{_LETTER}|[{_SIGNS}*_])*")
 _RUN = re.compile(rf"({_LETTER})\1\1")
-_SPELLED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:(?:[ .*_-]{{1,2}})(?:[^\W_]|[{_SIGNS}])(?![^\W_])){{3,}}")
-#: stands in whatever _SPELLED matches, and is found faster
-_SINGLES = re.compile(rf"[ .*_-](?:[^\W_]|[{_SIGNS}])[ .*_-]{{1,2}}(?:[^\W_]|[{_SIGNS}])[ .*_-]")
+_TWICE = re.compile(rf"({_LETTER})\1")
+_SPELLED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:(?:[ .*_-]{{1,2}})(?:[^\W_]|[{_SIGNS}])(?![^\W_]))+")
 _WORD = re.compile(rf"{_LETTER}+")
 _DOUBLE = re.compile(r"(.)\1+")
 _SIGN = re.compile(rf"[{_SIGNS}]")
@@ -133,27 +138,45 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def decode(surface: str, model: CharModel) -> str:
-    """The likeliest word behind a surface: Viterbi over (last two letters); a repeated letter may be one, a separator nothing."""
+    """The likeliest words behind a surface: Viterbi over (last two letters); a repeated letter may be one, a separator nothing or a word's end."""
     logs, at = model.logs, model.at
     edge = model.index[EDGE]
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(edge, edge, ""): (0.0, "")}
+    start = (edge, edge, "")
+    # each state has its cost and its text, the latter as (text before, character)
+    states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {start: (0.0, None)}
+    gap = 0
     for c in surface.lower():
-        if c in " .*_-":
+        if c in SEPARATORS:
+            gap += 1
             continue
+        if gap:
+            wide = gap > 1
+            ends = [(cost - logs[a, b, edge] + BETWEEN[wide], text) for (a, b, _), (cost, text) in states.items() if b != edge]
+            states = {k: (cost + WITHIN[wide] * (k != start), text) for k, (cost, text) in states.items()}
+            if ends:
+                cost, text = min(ends, key=lambda e: e[0])
+                if start not in states or cost < states[start][0]:
+                    states[start] = cost, (text, " ")
+            gap = 0
         options = [(x, SUBSTITUTE) for x in STANDS_FOR.get(c, "")]
         options.append((c, 0.0 if c.isalpha() else KEEP_SYMBOL))
-        nxt: dict[tuple[int, int, str], tuple[float, str]] = {k: (cost + DROP, w) for k, (cost, w) in states.items()} if c in PUNCTUATION else {}
+        nxt: dict[tuple[int, int, str], tuple[float, tuple | None]] = {k: (cost + DROP, w) for k, (cost, w) in states.items()} if c in PUNCTUATION else {}
         for (a, b, last), (cost, word) in states.items():
             for x, price in options:
                 k = at(x)
-                steps = [((b, k, x), cost + price - logs[a, b, k], word + x)]
+                steps = [((b, k, x), cost + price - logs[a, b, k], (word, x))]
                 if x == last:
                     steps.append(((a, b, x), cost + price + REPEAT, word))
                 for key, total, text in steps:
                     if key not in nxt or total < nxt[key][0]:
                         nxt[key] = (total, text)
         states = nxt
-    return min((cost - logs[a, b, edge], word) for (a, b, _), (cost, word) in states.items())[1]
+    node = min(((cost - logs[a, b, edge], text) for (a, b, _), (cost, text) in states.items()), key=lambda e: e[0])[1]
+    out: list[str] = []
+    while node is not None:
+        node, x = node
+        out.append(x)
+    return "".join(reversed(out))
 
 
 def single(word: str) -> str:
@@ -170,9 +193,11 @@ class Restorer:
     def surface(self, s: str) -> str:
         found = self.cache.get(s)
         if found is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            found = self.cache[s] = decode(s, self.model) if len(s) <= 80 else s
+            found = decode(s, self.model)
+            if len(s) <= CACHE_CHARS:
+                if len(self.cache) >= CACHE_WORDS:
+                    self.cache.clear()
+                self.cache[s] = found
         return found
 
     def _wanted(self, plain: set[str], surfaces: list[str]) -> tuple[str, ...]:
@@ -183,11 +208,11 @@ class Restorer:
     def token(self, token: str) -> tuple[str, ...]:
         """Words of a token without white space, as it stands and restored."""
         core = token.strip(MARKS)
-        if core.isalpha() and not _RUN.search(core):  # one plain word
+        if core.isalpha() and not _TWICE.search(core):  # one plain word
             found = (core,) if self.known is None or core in self.known else ()
         else:
             plain = set(_WORD.findall(token))
-            surfaces = [w for w in plain if _RUN.search(w)]
+            surfaces = [w for w in plain if _TWICE.search(w)]
             if _SIGN.search(token):
                 surfaces += [m[0] for m in _MIXED.finditer(token)]
             found = self._wanted(plain, surfaces)
@@ -201,7 +226,7 @@ class Restorer:
         """Distinct words of the text itself and of its restored surfaces, the latter also with doubled letters made one.
 
         Mixed surfaces and runs of letters lie within tokens, so each distinct token is looked at once; spelled-out words,
-        which cross tokens, are sought where two single characters stand between separators."""
+        which cross tokens, are sought in the whole text."""
         low, out, get = text.lower(), set(), self.tokens.get
         for t in set(low.split()):
             found = get(t)
@@ -209,8 +234,9 @@ class Restorer:
                 found = self.token(t)
             if found:
                 out.update(found)
-        if _SINGLES.search(low):
-            out.update(self._wanted(set(), [m[0] for m in _SPELLED.finditer(low)]))
+        spelled = [m[0] for m in _SPELLED.finditer(low)]
+        if spelled:
+            out.update(self._wanted(set(), spelled))
         return out
 
     def restore(self, text: str) -> str:
