@@ -110,6 +110,52 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, max_distance: float
     return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def within(vectors: DataFrame, queries: DataFrame, max_distance: float, block: int = 512) -> DataFrame:
+    """(query_id, n): how many vectors lie nearer than ``max_distance`` by cosine distance (rounded to 9 digits); queries with none make no row.
+
+    Queries go in blocks as in ``nearest``; each partition counts for itself, so one row a query and partition is shuffled.
+    Null and zero vectors are left out."""
+    spark = vectors.sparkSession
+    q = queries.where("query_id is not null and vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    v = vectors.where("vector is not null").select(F.col("vector").cast("array<double>").alias("vector"))
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("n", T.LongType())])
+
+    def count(rows: list) -> DataFrame:
+        ids = np.array([r.query_id for r in rows], np.int64)
+        unit = np.array([r.vector for r in rows])
+        size = np.linalg.norm(unit, axis=1)
+        ids, unit = ids[size > 0], unit[size > 0] / size[size > 0, None]
+        shared = spark.sparkContext.broadcast((ids, unit))  # at most ``block`` vectors
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, q = shared.value
+            total = np.zeros(len(q_ids), np.int64)
+            for b in batches:
+                if not len(b):
+                    continue
+                x = np.stack([np.asarray(r.as_py()) for r in b.column(0)])
+                n = np.linalg.norm(x, axis=1)
+                x = x[n > 0] / n[n > 0, None]
+                total += (np.round(1.0 - q @ x.T, 9) < max_distance).sum(1)
+            some = total > 0
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[some]), pa.array(total[some])], names=["query_id", "n"])
+
+        return v.mapInArrow(run, schema)
+
+    parts: list[DataFrame] = []
+    pending: list = []
+    for row in q.toLocalIterator():
+        pending.append(row)
+        if len(pending) == block:
+            parts.append(count(pending))
+            pending = []
+    if pending:
+        parts.append(count(pending))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts).groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

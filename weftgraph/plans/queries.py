@@ -422,11 +422,9 @@ def cosine_topk(s, d):
 
 @query("cosine_threshold", f"with {_COS} select qid as query_id, count(*) as n from c where dist < 0.6 group by qid")
 def cosine_threshold(s, d):
-    v = table(s, d, "embeddings")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    q = q.groupBy().agg(F.collect_list(F.struct("query_id", "q")).alias("qs")) if q.count() <= 10_000 else None
-    x = v.join(F.broadcast(q)).select("embedding", F.explode("qs").alias("x"))  # the stated query set against all rows; one broadcast row
-    return x.where(F.round(search.cosine_distance(F.col("x.q"), F.col("embedding")), 9) < 0.6).groupBy("x.query_id").agg(F.count("*").alias("n"))
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    return search.within(v, q, 0.6)
 
 
 def _two_lists(s, d, start):
