@@ -4,6 +4,7 @@ import numpy as np
 
 from weftgraph.operators import search
 from weftgraph.plans import queries
+from weftgraph.sources import code
 
 
 def test_more_query_vectors_than_ten_thousand(spark, tmp_path):
@@ -21,3 +22,12 @@ def test_more_query_vectors_than_ten_thousand(spark, tmp_path):
     q = v.selectExpr("id as query_id", "vector")
     assert sorted(search.within(v, q, 0.6, block=7).collect()) == sorted(search.within(v, q, 0.6).collect())
     assert search.within(v, q.limit(0), 0.6).count() == 0
+
+
+def test_imports_of_many_segments(spark):
+    deep = "src/main/java/com/a/b/c/d/e/f/g/h/Deep.java"
+    files = spark.createDataFrame([(deep,), ("x/h/Deep.java",), ("src/Main.java",), ("lib/util/__init__.py",)], "path string")
+    facts = spark.createDataFrame([("src/Main.java", "import", t) for t in ("com.a.b.c.d.e.f.g.h.Deep", "src.main.java.com.a.b.c.d.e.f.g.h.Deep", "h.Deep", "..util", "no.such.Thing")], "path string, kind string, target string")
+    got = {(r.src, r.dst) for r in code.resolve_imports(facts, files).collect()}
+    assert got == {("File:src/Main.java", f"File:{p}") for p in (deep, "x/h/Deep.java", "lib/util/__init__.py")}
+    assert code.resolve_imports(facts.where("path = ''"), files).count() == 0

@@ -128,7 +128,7 @@ def resolve_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
     want = facts.where("kind = 'import'").select("path", F.regexp_replace(F.regexp_replace("target", r"^[./\\]+", ""), r"[.\\:]+", "/").alias("module")).where("module != ''").distinct()
     stem = files.select(F.col("path").alias("file"), F.regexp_replace(F.regexp_replace("path", r"\.[A-Za-z]+$", ""), "/(?:__init__|index)$", "").alias("stem"))
     parts = F.split("stem", "/")
-    ends = stem.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(8))), lambda k: F.array_join(F.slice(parts, -k, k), "/"))).alias("module"))
+    ends = stem.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "/"))).alias("module"))
     hit = want.join(ends, "module").where("path != file")
     best = hit.groupBy("path", "module").agg(F.min(F.struct(F.length("file").alias("n"), "file"))["file"].alias("file"))
     return best.select(node_id("File", F.col("path")).alias("src"), node_id("File", F.col("file")).alias("dst")).distinct()
