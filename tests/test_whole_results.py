@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from weftgraph.operators import search
+from weftgraph.operators import search, traverse
 from weftgraph.plans import queries
 from weftgraph.sources import code
 
@@ -31,3 +31,10 @@ def test_imports_of_many_segments(spark):
     got = {(r.src, r.dst) for r in code.resolve_imports(facts, files).collect()}
     assert got == {("File:src/Main.java", f"File:{p}") for p in (deep, "x/h/Deep.java", "lib/util/__init__.py")}
     assert code.resolve_imports(facts.where("path = ''"), files).count() == 0
+
+
+def test_more_levels_than_a_hundred(spark):
+    chain = spark.range(1, 103).selectExpr("cast(id as string) as src", "cast(id - 1 as string) as dst").unionByName(spark.createDataFrame([("x", "y"), ("y", "x")], "src string, dst string"))
+    nodes = chain.selectExpr("explode(array(src, dst)) as id")
+    got = {r.node: r.level for r in traverse.topological_levels(nodes, chain).collect()}
+    assert got == {str(k): k for k in range(103)} | {"x": -1, "y": -1}

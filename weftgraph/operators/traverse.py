@@ -6,6 +6,7 @@ Each level is a join of the frontier with the edges, written to the shared folde
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,12 +86,12 @@ def drop_subpaths(paths: DataFrame) -> DataFrame:
     return best.select("entry", "terminal", F.col("b.path").alias("path"))
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 100) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): leaves (nothing left that they depend on) first; nodes on or above a cycle get level -1."""
     left = write_table(edges.where("src != dst").select("src", "dst").distinct(), "deps")
     rest = write_table(nodes.select(F.col("id").alias("node")).distinct(), "rest")
     out = []
-    for level in range(max_levels):
+    for level in count():
         free = write_table(rest.join(left.select(F.col("src").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)), "free")
         if free.isEmpty():
             break
