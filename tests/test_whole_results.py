@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from weftgraph.operators import search, traverse
+from weftgraph.operators import hierarchy, search, traverse
 from weftgraph.plans import queries
 from weftgraph.sources import code
 
@@ -38,3 +38,12 @@ def test_more_levels_than_a_hundred(spark):
     nodes = chain.selectExpr("explode(array(src, dst)) as id")
     got = {r.node: r.level for r in traverse.topological_levels(nodes, chain).collect()}
     assert got == {str(k): k for k in range(103)} | {"x": -1, "y": -1}
+
+
+def test_c3_needs_no_whole_hierarchy(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInPandas", lambda *a: seen.append(a), raising=False)
+    pairs = [("B", "A", 0), ("C", "A", 0), ("D", "B", 0), ("D", "C", 1), ("E", "C", 0), ("E", "B", 1), ("F", "D", 0), ("F", "E", 1), ("x", "y", 0), ("y", "x", 0), ("z", "x", 0), ("s", "s", 0), ("G", "F", 0)]
+    got = {r.cls: r.mro for r in hierarchy.linearise(spark.createDataFrame(pairs, "cls string, parent string, pos int")).collect()}
+    want = {"A": "A", "B": "BA", "C": "CA", "D": "DBCA", "E": "ECBA", "F": None, "G": None, "x": None, "y": None, "z": None, "s": None}
+    assert got == {k: v and list(v) for k, v in want.items()} and not seen

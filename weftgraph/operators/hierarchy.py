@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.components import connected_components
-from weftgraph.operators.traverse import bfs
+from weftgraph.operators.traverse import bfs, topological_levels
+from weftgraph.storage import write_table
 
 
 def c3(name: str, parents: dict[str, list[str]], memo: dict[str, list[str] | None]) -> list[str] | None:
@@ -29,21 +30,34 @@ def c3(name: str, parents: dict[str, list[str]], memo: dict[str, list[str] | Non
     return out
 
 
-def linearise(extends: DataFrame) -> DataFrame:
-    """(cls, mro) from (cls, parent, pos): one row for each class; mro is null where none exists.
+def _merged(cls: str, parents: list) -> list[str] | None:
+    """C3 order of a class from its parents (pos, parent, mro) in turn; None where one of them has none or they disagree."""
+    if any(p.mro is None for p in parents):
+        return None
+    line = sorted(parents, key=lambda p: (p.pos, p.parent))
+    return c3(cls, {cls: [p.parent for p in line]}, {p.parent: list(p.mro) for p in line})
 
-    Classes of one connected hierarchy meet in one group; hierarchies are small, and independent of each other."""
-    ids = extends.select(F.xxhash64("cls").alias("src"), F.xxhash64("parent").alias("dst"))
-    comp = connected_components(ids)
-    keyed = extends.join(comp, F.xxhash64("cls") == comp.node).select("component", "cls", "parent", "pos")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["cls", "parent"]).sort_values(["cls", "pos", "parent"])
-        parents = pdf.groupby("cls")["parent"].apply(list).to_dict()
-        names, memo = sorted(set(pdf["cls"]) | set(pdf["parent"])), {}
-        return pd.DataFrame({"cls": names, "mro": [c3(n, parents, memo) for n in names]})
+def linearise(extends: DataFrame) -> DataFrame:
+    """(cls, mro) from (cls, parent, pos): one row for each class; mro is null where none exists.
 
-    return keyed.groupBy("component").applyInPandas(run, "cls string, mro array<string>")
+    Level by level: each class meets the finished orders of its own parents only, so no task holds a hierarchy."""
+    e = extends.where("cls is not null and parent is not null").groupBy("cls", "parent").agg(F.min("pos").alias("pos"))
+    e = write_table(e, "extends")
+    nodes = e.select(F.explode(F.array("cls", "parent")).alias("id"))
+    levels = write_table(topological_levels(nodes, e.select(F.col("cls").alias("src"), F.col("parent").alias("dst"))), "levels")
+    merge = F.udf(_merged, "array<string>")
+    at = write_table(e.join(levels, e.cls == levels.node).select("level", "cls", "parent", "pos"), "extends")
+    roots = levels.join(e.select(F.col("cls").alias("node")), "node", "left_anti").select(F.col("node").alias("cls"), F.array("node").alias("mro"))
+    done = [write_table(roots, "orders")]
+    top = levels.agg(F.max("level")).first()[0] or 0
+    for k in range(top + 1):
+        known = reduce(DataFrame.unionByName, done).select(F.col("cls").alias("p"), "mro")
+        met = at.where(F.col("level") == k).join(known, F.col("parent") == F.col("p"), "left")
+        ready = met.groupBy("cls").agg(F.collect_list(F.struct("pos", "parent", "mro")).alias("ps"))
+        done.append(write_table(ready.select("cls", merge("cls", "ps").alias("mro")), "orders"))
+    cyclic = levels.where("level = -1").select(F.col("node").alias("cls"), F.lit(None).cast("array<string>").alias("mro"))
+    return reduce(DataFrame.unionByName, [*done, cyclic])
 
 
 def overrides(mros: DataFrame, methods: DataFrame) -> DataFrame:
