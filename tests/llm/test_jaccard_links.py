@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as P
-from weftgraph.llm import jaccard_dedup
+from weftgraph.llm import simhash_dedup
 
 
 def brute_shingles(text):
@@ -52,8 +52,8 @@ def test_large_groups_and_edges_of_the_threshold(spark):
     rng.shuffle(texts)
     rows = [(k if k % 9 else None, t, k) for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sid int")
-    got, rows = jaccard_dedup.keep_first(docs).collect(), docs.collect()
+    got, rows = simhash_dedup.keep_first(docs).collect(), docs.collect()
     known = [str(r) for r in brute_kept([r for r in rows if r.doc_id is not None])]
     assert len(got) == len(brute_kept(rows))
-    kept = jaccard_dedup.keep_first(docs.where("doc_id is not null")).collect()
+    kept = simhash_dedup.keep_first(docs.where("doc_id is not null")).collect()
     assert sorted(map(str, kept)) == known

@@ -5,7 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tests.llm.test_dedup_ops import brute_components, brute_fingerprint, brute_hits
+from tests.llm.test_dedup_ops import brute_hits
+from tests.llm.test_jaccard_links import brute_kept
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -28,14 +29,7 @@ def test_stages(spark, sf_dir, tmp_path):
             norm = lambda r: re.sub(r"[\x20\x09-\x0D]", "", r.text or "")
             assert len(after) == len({norm(r) for r in before}) == len({norm(r) for r in after})
         if name == "near_dedup":
-            rest = before
-            for width in P.NEAR_SHINGLES:
-                prints = {r: (v - 2**64 if (v := brute_fingerprint(r.text, width)) >> 63 else v) for r in rest}
-                root, best = brute_components(set(prints.values())), {}
-                for r in sorted(prints, key=lambda r: (r.doc_id is None, r.doc_id)):
-                    best.setdefault(root[prints[r]], r)
-                rest = list(best.values())
-            assert sorted(map(str, after)) == sorted(map(str, rest))
+            assert sorted(map(str, after)) == brute_kept(before)
         if name == "decontamination":
             hits = brute_hits([(r.doc_id, r.text) for r in before], items, 13)
             assert sorted(r.text or "" for r in after) == sorted(r.text or "" for r, (n, h, _) in zip(before, hits) if not (h and 20 * h >= n))

@@ -16,42 +16,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.llm import jaccard_links
+from weftgraph.llm.shingles import hash_set, set_hash, shingle_hashes, simhash
 from weftgraph.operators.components import connected_components
-from weftgraph.storage import write_table
-
-SEED = 42
-#: Shingles whose bits are unpacked at once, so that a very long text needs no more memory than this.
-BLOCK = 1 << 16
-
+from weftgraph.storage import drop_table, write_table
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """SimHash of the word shingles of ``text`` (UTF-8), as a signed 64-bit integer."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = np.array([digest(joined, SEED)], dtype="<u8")
-    else:
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes).tolist()
-        ends = ends[shingle - 1 :].tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends)], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        bits = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    value = int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
-    return value - (1 << 64) if value >> 63 else value
+    return simhash(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, carry: list[str] | None = None) -> DataFrame:
@@ -113,10 +90,56 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return base.join(known, base.fp == known.k).drop("k")
 
 
-def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` with one document of each near-duplicate group: the one with the least id (ties: any one row)."""
-    groups = near_groups(docs, text_col, id_col, shingle)
-    is_head = groups.id.eqNullSafe(groups.component_id)
-    heads = groups.where(is_head).groupBy("root").agg(F.min("rid").alias("keep_rid")).withColumnRenamed("root", "r")
-    kept = groups.join(heads, (groups.root == heads.r) & (groups.rid == heads.keep_rid), "left_semi")
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+def signatures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similar: tuple[int, int] = (4, 5)) -> DataFrame:
+    """Written table: rid, row, id, text, fp, sid (hash of the set of shingles), keys (prefix of the set in the order of the hashes)."""
+    kind = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    arrow = pa.struct([("fp", pa.int64()), ("sid", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    @F.arrow_udf(kind)
+    def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                hashes = shingle_hashes(t.as_py(), shingle)
+                hs = hash_set(hashes)
+                out.append((simhash(hashes), set_hash(hs), hs[: jaccard_links.prefix_length(len(hs), similar)]))
+            yield pa.array([dict(zip(("fp", "sid", "keys"), o)) for o in out], arrow)
+
+    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    held = text_col in docs.columns  # then the row has the text
+    out = base.select("row", "id", *([] if held else ["text"]), sign(F.col("text").cast("binary")).alias("s")).select("*", "s.*").drop("s")
+    return write_table(out.withColumn("rid", F.monotonically_increasing_id()), "signatures", compression="zstd")
+
+
+def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similar: tuple[int, int] = (4, 5)) -> DataFrame:
+    """One row per document: row, rid, id, sid, root (a set), component_id (least id in the component).
+
+    Groups of texts whose shingle sets have a Jaccard similarity of ``similar`` or more. The signatures propose pairs
+    within two bits, which are verified; ``jaccard_links`` adds every similar pair whose fingerprints are farther apart."""
+    base = signatures(docs, text_col, id_col, shingle, similar)
+    text = F.col(f"row.{text_col}") if text_col in docs.columns else F.col("text")
+    nodes = write_table(base.groupBy("sid").agg(F.min("id").alias("least_id"), F.min("rid").alias("first"), F.min("fp").alias("fp")), "nodes")
+    met = jaccard_links.partners_possible(base)
+    first = nodes.join(met, "sid", "left_semi")
+    sets = jaccard_links.shingle_sets(base.select("rid", text.alias("text")).join(first.select(F.col("first").alias("rid")), "rid", "left_semi"), shingle)
+    # one set for each fingerprint, and the others of that fingerprint next to it
+    heads = first.groupBy("fp").agg(F.min("sid").alias("sid"))
+    close = near_links(heads.select("fp"))
+    a, b = (heads.select(F.col("fp").alias(f), F.col("sid").alias(s)) for f, s in (("src", "x"), ("dst", "y")))
+    pairs = close.join(a, "src").join(b, "dst").select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    same = first.join(heads.withColumnRenamed("sid", "dst"), "fp").where("sid != dst").select(F.col("sid").alias("src"), "dst")
+    known = write_table(pairs.unionByName(same), "known")
+    labels = connected_components(jaccard_links.similar_links(sets, similar, known))
+    drop_table(sets)
+    rooted = nodes.join(labels, nodes.sid == labels.node, "left").select(F.col("sid").alias("k"), "least_id", F.coalesce("component", "sid").alias("root"))
+    rooted = write_table(rooted, "rooted")
+    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    known = rooted.join(ids, "root").select("k", "root", "component_id")
+    return base.join(known, base.sid == known.k).select("row", "rid", "id", "sid", "root", "component_id")
+
+
+def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similar: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of ``similar_groups``: the one with the least id (ties: any one row)."""
+    groups = similar_groups(docs, text_col, id_col, shingle, similar)
+    heads = groups.where(groups.id.eqNullSafe(groups.component_id)).groupBy("root").agg(F.min("rid").alias("rid")).select("rid")
+    return groups.select("row", "rid").join(heads, "rid", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])

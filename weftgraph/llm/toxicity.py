@@ -4,8 +4,11 @@ Suspicious surfaces (letters mixed with digits or symbols, doubled letters and l
 out with separators) span a lattice: each character may be itself, a letter that it stands for or a repetition, and a
 separator may stand within a word or between two. Viterbi decoding under a character trigram model picks the likeliest
 words, in time linear in the length of the surface; the model's counts come from the words of
-all documents. The restored words are then scored by a logistic model over a lexicon: the words whose presence goes with the label
-and their weights come from a bounded sample of the labelled documents (``fit_rows``, by hash of the id).
+all documents. The restored text is then scored by a logistic model over a lexicon: at most ``lexicon`` words and
+beginnings of words whose presence goes with the label, with weights of at least zero, from a bounded sample of the
+labelled documents (``fit_rows``, by hash of the id). A word counts by its presence, a beginning by its share of the
+distinct tokens, so that other forms of a word count, too, and long texts gather no chance hits. Whole texts are scored;
+only the text column goes to the Python workers.
 
 Defined results: null counts as empty; empty texts get the model's base rate; labels are matched by id, repeated labels
 of an id count as toxic if any is; without labels every score is the prior 0.1; an empty table gives no rows.
@@ -16,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Collection, Iterator
 from typing import NamedTuple
 
@@ -45,7 +49,13 @@ WITHIN, BETWEEN = (0.0, 3.0), (1.0, 0.0)
 #: Marks around a word that stand for no letter.
 MARKS = ".,;:?'\"”“’‘…)[]{}<>-–—*_"
 FIT_ROWS, LEXICON, LEAST_DOCS = 30_000, 3000, 3
-CACHE_WORDS = 200_000
+#: Lengths of the beginnings of words that are features besides the words themselves.
+BEGINNINGS = (3, 4, 5, 7)
+#: Mark of a beginning; no word holds it.
+OPEN = "-"
+#: A beginning counts in full if one distinct token in so many has it; tokens that every text has besides its own.
+FULL_SHARE, MORE_TOKENS = 60.0, 40
+CACHE_WORDS = 100_000
 #: Longest surface that is cached; longer ones are decoded each time.
 CACHE_CHARS = 80
 #: Characters whose trigrams are counted at once.
@@ -183,12 +193,20 @@ def single(word: str) -> str:
     return _DOUBLE.sub(r"\1", word)
 
 
+def forms(words: Collection[str]) -> set[str]:
+    """The words and their beginnings, the latter marked."""
+    return {*words, *(w[:k] + OPEN for w in words for k in BEGINNINGS if len(w) > k)}
+
+
 class Restorer:
-    """Restored words of texts, with bounded caches of decoded surfaces and of the words of tokens."""
+    """Restored words of texts, with bounded caches of decoded surfaces and of the features of tokens."""
 
     def __init__(self, model: CharModel, known: Collection[str] | None = None):
-        """known: the only words that ``words`` is to return."""
+        """known: the only features that ``features`` is to return."""
         self.model, self.known, self.cache, self.tokens = model, known, {}, {}
+        # words that are sought inside spelled-out passages, whose word ends the model may miss
+        self.inner = {w for w in known or () if len(w) > 3 and not w.endswith(OPEN)}
+        self.longest = max(map(len, self.inner), default=0)
 
     def surface(self, s: str) -> str:
         found = self.cache.get(s)
@@ -200,16 +218,34 @@ class Restorer:
                 self.cache[s] = found
         return found
 
-    def _wanted(self, plain: set[str], surfaces: list[str]) -> tuple[str, ...]:
+    def spelled(self, s: str) -> str:
+        """A spelled-out passage decoded, with spaces around the known words that it holds (leftmost, longest first)."""
+        text = self.surface(s)
+        if not self.inner:
+            return text
+        letters, out, at, since = text.replace(" ", ""), [], 0, 0
+        while at < len(letters):
+            end = next((e for e in range(min(len(letters), at + self.longest), at + 3, -1) if letters[at:e] in self.inner), 0)
+            if end:
+                out += [letters[since:at], letters[at:end]]
+                since = end
+            at = end or at + 1
+        return " ".join(w for w in [*out, letters[since:]] if w) if out else text
+
+    def _wanted(self, plain: set[str], surfaces: list[str], passages: list[str] = ()) -> tuple[str, ...]:
         restored = {w for s in surfaces for w in _WORD.findall(self.surface(s))} - plain
-        every = plain | restored | set(map(single, restored))
+        restored |= {w for s in passages for w in _WORD.findall(self.spelled(s))}
+        return self._known(plain | restored | set(map(single, restored)))
+
+    def _known(self, words: set[str]) -> tuple[str, ...]:
+        every = forms(words)
         return tuple(every if self.known is None else every & self.known)
 
     def token(self, token: str) -> tuple[str, ...]:
-        """Words of a token without white space, as it stands and restored."""
+        """Features of a token without white space, as it stands and restored."""
         core = token.strip(MARKS)
         if core.isalpha() and not _TWICE.search(core):  # one plain word
-            found = (core,) if self.known is None or core in self.known else ()
+            found = self._known({core})
         else:
             plain = set(_WORD.findall(token))
             surfaces = [w for w in plain if _TWICE.search(w)]
@@ -223,25 +259,31 @@ class Restorer:
         return found
 
     def words(self, text: str) -> set[str]:
-        """Distinct words of the text itself and of its restored surfaces, the latter also with doubled letters made one.
+        """Distinct words of the text itself and of its restored surfaces, the latter also with doubled letters made one."""
+        return {w for w in self.features(text) if not w.endswith(OPEN)}
+
+    def features(self, text: str) -> dict[str, float]:
+        """Those words with 1, and their beginnings with their share of the distinct tokens, 1 at most.
 
         Mixed surfaces and runs of letters lie within tokens, so each distinct token is looked at once; spelled-out words,
         which cross tokens, are sought in the whole text."""
-        low, out, get = text.lower(), set(), self.tokens.get
-        for t in set(low.split()):
+        low, n, get = text.lower(), Counter(), self.tokens.get
+        tokens = set(low.split())
+        for t in tokens:
             found = get(t)
             if found is None:
                 found = self.token(t)
-            if found:
-                out.update(found)
+            for f in found:
+                n[f] += 1
         spelled = [m[0] for m in _SPELLED.finditer(low)]
         if spelled:
-            out.update(self._wanted(set(), spelled))
-        return out
+            n.update(self._wanted(set(), [], spelled))
+        share = FULL_SHARE / (len(tokens) + MORE_TOKENS)
+        return {f: min(1.0, k * share) if f.endswith(OPEN) else 1.0 for f, k in n.items()}
 
     def restore(self, text: str) -> str:
         """The lower-cased text with its suspicious surfaces decoded."""
-        text = _SPELLED.sub(lambda m: self.surface(m[0]), text.lower())
+        text = _SPELLED.sub(lambda m: self.spelled(m[0]), text.lower())
         text = _MIXED.sub(lambda m: self.surface(m[0]), text)
         return _WORD.sub(lambda m: self.surface(m[0]) if _RUN.search(m[0]) else m[0], text)
 
@@ -270,7 +312,7 @@ class Model(NamedTuple):
 
 
 def _lexicon(found: DataFrame, labels_total: tuple[int, int], size: int) -> list[str]:
-    """Words that go with label 1, by signed log-likelihood ratio over all training documents."""
+    """Features that go with label 1, by signed log-likelihood ratio over all training documents."""
     pos, neg = labels_total
     n = float(pos + neg)
     a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
@@ -280,22 +322,25 @@ def _lexicon(found: DataFrame, labels_total: tuple[int, int], size: int) -> list
 
     row, rest = a + b, n - (a + b)
     g = part(a, row, float(pos)) + part(b, row, float(neg)) + part(F.lit(float(pos)) - a, rest, float(pos)) + part(F.lit(float(neg)) - b, rest, float(neg))
-    ranked = found.where((F.col("pos") >= LEAST_DOCS) & (a * neg > b * pos)).select("w", g.alias("g")).orderBy(F.desc("g"), "w").limit(size)
-    return [r.w for r in ranked.collect()]
-
-
-def _fit(rows: list[tuple[list[int], int]], size: int, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Sparse logistic regression, L2 and positive weights, by gradient steps on present words."""
-    y = np.array([t for _, t in rows], float)
-    doc = np.repeat(np.arange(len(rows)), [len(w) for w, _ in rows])
-    word = np.array([k for w, _ in rows for k in w], dtype=np.int64)
+    ranked = write_table(found.where((F.col("pos") >= LEAST_DOCS) & (a * neg > b * pos)).select("w", g.alias("g")), "candidates")
+    # among so many candidates, chance makes none of that ratio
+    least = math.log(max(1, ranked.count()))
+    return [r.w for r in ranked.where(F.col("g") >= least).orderBy(F.desc("g"), "w").limit(size).collect()]
+
+
+def _fit(rows: list[tuple[list[int], list[float], int]], size: int, rounds: int = 400, decay: float = 0.01) -> tuple[np.ndarray, float]:
+    """Sparse logistic regression, L2 and positive weights, by gradient steps; each row has its features, their values and its label."""
+    y = np.array([t for *_, t in rows], float)
+    doc = np.repeat(np.arange(len(rows)), [len(w) for w, *_ in rows])
+    word = np.array([k for w, *_ in rows for k in w], dtype=np.int64)
+    x = np.array([v for _, vs, _ in rows for v in vs], dtype=float)
     weights, bias = np.zeros(size), math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
-    seen, speed, pull = np.bincount(word, minlength=size) + 4.0, np.zeros(size), 0.0
+    seen, speed, pull = np.bincount(word, x * x, minlength=size) + 4.0, np.zeros(size), 0.0
     for _ in range(rounds):
-        score = bias + np.bincount(doc, weights[word], minlength=len(rows))
+        score = bias + np.bincount(doc, weights[word] * x, minlength=len(rows))
         gap = y - 1 / (1 + np.exp(-score))
-        step = np.bincount(word, gap[doc], minlength=size) - 0.02 * weights
-        speed = 0.9 * speed + step / seen
+        step = np.bincount(word, gap[doc] * x, minlength=size) - decay * weights
+        speed = 0.9 * speed + step / seen / 4
         pull = 0.9 * pull + 0.3 * gap.mean()
         weights, bias = np.maximum(weights + speed, 0.0), bias + pull
     return weights, bias
@@ -311,15 +356,16 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     sample = marks.where(fold(F.col("k")) != 0).orderBy(F.xxhash64("k"), "k").limit(fit_rows)
     source = docs.select(docs[id_col].alias("k"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
     marked = source.join(F.broadcast(sample), "k").select(F.xxhash64("t").alias("h"), "t", "y")  # fit_rows narrow rows; the texts stay where they are
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("words", T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("x", T.FloatType())])))])
+    held = pa.list_(pa.struct([("w", pa.string()), ("x", pa.float32())]))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = _restorer(shared)
         for whole in batches:
             for at in range(0, len(whole), 256):
                 b = whole.slice(at, 256)
-                words = [sorted(restorer.words(t.as_py())) for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words, pa.list_(pa.string()))], names=["h", "y", "words"])
+                words = [[{"w": w, "x": x} for w, x in sorted(restorer.features(t.as_py()).items())] for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words, held)], names=["h", "y", "words"])
 
     # copies of a text count once
     every = marked.mapInArrow(split, schema)
@@ -328,31 +374,32 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return Model(chars, {}, math.log(1 / 9) if not pos + neg else math.log((pos + 1) / (neg + 1)))
-    counts = found.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    counts = found.select("y", F.explode("words.w").alias("w")).groupBy("w").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     names = _lexicon(counts, (pos, neg), lexicon)
     listed = spark.createDataFrame([(w, k) for k, w in enumerate(names)], "w string, k int")  # at most ``lexicon`` rows
-    present = found.select("h", "y", F.explode_outer("words").alias("w")).join(F.broadcast(listed), "w", "left").groupBy("h", "y").agg(F.collect_list("k").alias("ks"))
-    rows = [(r.ks, r.y) for r in present.orderBy("h").collect()]
+    present = found.select("h", "y", F.explode("words").alias("e")).select("h", "y", "e.*").join(F.broadcast(listed), "w")
+    present = present.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("fs"))
+    every = found.select("h", "y").join(present, "h", "left").select("h", "y", F.coalesce("fs.k", F.array().cast("array<int>")).alias("ks"), F.coalesce("fs.x", F.array().cast("array<float>")).alias("xs"))
+    rows = [(r.ks, r.xs, r.y) for r in every.orderBy("h").collect()]  # at most ``fit_rows`` lists of lexicon entries
     weights, bias = _fit(rows, len(names))
     return Model(chars, {w: float(x) for w, x in zip(names, weights) if x > 1e-3}, float(bias))
 
 
 def score_text(text: str, restorer: Restorer, weights: dict[str, float], bias: float) -> float:
-    total = sum(weights[w] for w in sorted(restorer.words(text) & weights.keys()))
+    total = sum(weights[w] * x for w, x in sorted(restorer.features(text).items()) if w in weights)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + total))))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per document: row, score, predicted (1 from 0.5)."""
-    base = docs.select(F.struct(*[docs[c] for c in (carry or docs.columns)]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((model.chars, frozenset(model.weights)))
     weights, bias = model.weights, model.bias
-    out = T.StructType([base.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         restorer = _restorer(shared)
-        for b in batches:
-            scores = [score_text(t.as_py(), restorer, weights, bias) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["row", "score", "predicted"])
+        for texts in batches:
+            yield pa.array([score_text(t.as_py() or "", restorer, weights, bias) for t in texts], pa.float64())
 
-    return base.mapInArrow(run, out)
+    scored = docs.select(F.struct(*[docs[c] for c in (carry or docs.columns)]).alias("row"), score(docs[text_col]).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
