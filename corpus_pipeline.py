@@ -14,25 +14,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, exact_dedup, jaccard_dedup, sentencepiece_codec, toxicity
+from weftgraph.llm import decontaminate, exact_dedup, sentencepiece_codec, simhash_dedup, toxicity
 from weftgraph.storage import drop_paths, write_table, written_tables
 
-#: Words of a shingle in the near-duplicate stage.
-NEAR_WORDS = 5
+#: Words of a shingle and least similarity (4 / 5) in the near-duplicate stage.
+NEAR_WORDS, SIMILAR = 5, (4, 5)
+#: The stage that begins a run.
+FIRST = "drop_toxic"
 
-
-_scratch: list[str] = []
+#: Working tables of the stage that ran last on each folder of tables.
+_scratch: dict[str, list[str]] = {}
 
 
 def stage(work):
-    """A stage: the working tables of the stage before it are deleted first (its result is a table by then)."""
+    """A stage: it deletes the working tables of the stage before it on the same tables, whose result has been written by then.
+
+    The first stage deletes nothing, so that runs on other tables, and one that has ended, stay as they are."""
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_paths(spark, _scratch)
+        older = _scratch.pop(sf_dir, [])
+        if work.__name__ != FIRST:
+            drop_paths(spark, older)
         before = set(written_tables())
         out = work(spark, docs, sf_dir)
-        _scratch[:] = [p for p in written_tables() if p not in before]
+        _scratch[sf_dir] = [p for p in written_tables() if p not in before]
         return out
 
     return run_stage
@@ -55,8 +61,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more: the one of least id."""
-    return jaccard_dedup.keep_first(docs, shingle=NEAR_WORDS)
+    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more: the one of least id.
+
+    SimHash signatures propose pairs; similar pairs that are farther apart are added exactly."""
+    return simhash_dedup.keep_first(docs, shingle=NEAR_WORDS, similar=SIMILAR)
 
 
 @stage
