@@ -1,8 +1,9 @@
 """Exact links by the Jaccard similarity of shingle sets, which complete those that SimHash signatures find.
 
-Two sets of similarity t or more share one of their first n - ceil(t n) + 1 shingles in any fixed order (prefix filter).
-By the order of the hashes, a text none of whose prefix shingles stands in another text's prefix has no partner and
-leaves at once; so a fifth of the shingles is looked at, and no more is kept of most texts. Those that stay are ordered
+Two sets of similarity t or more share k of their first n - ceil(t n) + k shingles in any fixed order (prefix filter).
+By the order of the hashes and with k a twentieth of n, a text with fewer than k prefix shingles that stand in another
+text's prefix has no partner and leaves at once; so a quarter of the shingles is looked at, and no more is kept of most
+texts. Those that stay are ordered
 by how many texts hold a shingle, rarest first, and meet on their prefixes under bounds of length and position; the
 similarity is verified on whole sets. In large groups a few pivots link most members first; then all pairs of different
 components that pass the bounds are compared. Nothing is sampled or capped.
@@ -26,17 +27,28 @@ from weftgraph.storage import drop_table, write_table
 PIVOT_ROUNDS, PIVOTS = 2, 4
 
 
-def prefix_length(n: int, similar: tuple[int, int]) -> int:
-    """How many shingles of a set of n, in any fixed order, a similar set must share one of."""
+#: Share of a set that its prefix is longer than it need be.
+MORE = 20
+
+
+def prefix_length(n: int, similar: tuple[int, int]) -> tuple[int, int]:
+    """(length, k): similar sets share k shingles at least of their prefixes of that length, in any fixed order."""
     num, den = similar
-    return n - -(-n * num // den) + 1
+    free = n - -(-n * num // den)
+    length = min(n, free + max(1, n // MORE))
+    return length, length - free
 
 
 def partners_possible(base: DataFrame) -> DataFrame:
-    """sid of each set of which a prefix shingle (keys) is in the prefix of another set, too."""
-    keys = base.select("sid", F.explode("keys").alias("key"))
+    """Written table of the sid of each set that shares ``least`` of its prefix shingles (keys) or more with other prefixes."""
+    keys = base.select("sid", "least", F.explode("keys").alias("key"))
     met = keys.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo != hi").select("key")
-    return write_table(keys.join(met, "key", "left_semi").select("sid").distinct(), "met")
+    met = write_table(met, "met")
+    # copies of a set count its keys once each; all have the same number
+    shared = keys.join(met, "key").groupBy("sid", "least").agg(F.count_distinct("key").alias("n"))
+    out = write_table(shared.where("n >= least").select("sid"), "partners")
+    drop_table(met)
+    return out
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:

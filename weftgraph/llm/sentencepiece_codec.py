@@ -30,7 +30,7 @@ ZIPF_OFFSET, ZIPF_POWER = 2.7, 1.0
 #: What a character without a piece costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Segments in each half of a worker's cache, and the longest one that it keeps.
-CACHE_SEGMENTS, CACHE_CHARS = 200_000, 64
+CACHE_SEGMENTS, CACHE_CHARS = 150_000, 64
 _SEGMENT = re.compile(r" *[^ ]+| +")
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,19 +92,26 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 
 def signatures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similar: tuple[int, int] = (4, 5)) -> DataFrame:
-    """Written table: rid, row, id, text, fp, sid (hash of the set of shingles), keys (prefix of the set in the order of the hashes)."""
-    kind = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    arrow = pa.struct([("fp", pa.int64()), ("sid", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """Written table: rid, row, id, text, fp, sid (hash of the set of shingles), keys (prefix of the set in the
+    order of the hashes), least (how many of them a similar set shares)."""
+    longs = T.ArrayType(T.LongType())
+    kind = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("least", T.IntegerType()), T.StructField("keys", longs)])
 
     @F.arrow_udf(kind)
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out = []
+            fp, sid, least, keys = [], [], [], []
             for t in texts:
                 hashes = shingle_hashes(t.as_py(), shingle)
                 hs = hash_set(hashes)
-                out.append((simhash(hashes), set_hash(hs), hs[: jaccard_links.prefix_length(len(hs), similar)]))
-            yield pa.array([dict(zip(("fp", "sid", "keys"), o)) for o in out], arrow)
+                length, k = jaccard_links.prefix_length(len(hs), similar)
+                fp.append(simhash(hashes))
+                sid.append(set_hash(hs))
+                least.append(k)
+                keys.append(hs[:length].copy())
+            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else [], pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array(fp, pa.int64()), pa.array(sid, pa.int64()), pa.array(least, pa.int32()), lists], kind.names)
 
     base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     held = text_col in docs.columns  # then the row has the text

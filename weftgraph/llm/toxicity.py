@@ -207,6 +207,9 @@ class Restorer:
         # words that are sought inside spelled-out passages, whose word ends the model may miss
         self.inner = {w for w in known or () if len(w) > 3 and not w.endswith(OPEN)}
         self.longest = max(map(len, self.inner), default=0)
+        # how every known feature begins, as it stands and with doubled letters made one: other words need no look
+        self.heads = None if known is None else {f[:3] for f in known}
+        self.singles = None if known is None else {single(f)[:2] for f in known}
 
     def surface(self, s: str) -> str:
         found = self.cache.get(s)
@@ -245,10 +248,11 @@ class Restorer:
         """Features of a token without white space, as it stands and restored."""
         core = token.strip(MARKS)
         if core.isalpha() and not _TWICE.search(core):  # one plain word
-            found = self._known({core})
+            found = self._known({core}) if self.heads is None or core[:3] in self.heads else ()
         else:
             plain = set(_WORD.findall(token))
-            surfaces = [w for w in plain if _TWICE.search(w)]
+            # letters alone decode to themselves but for doubled ones
+            surfaces = [w for w in plain if _TWICE.search(w) and (self.singles is None or single(w)[:2] in self.singles)]
             if _SIGN.search(token):
                 surfaces += [m[0] for m in _MIXED.finditer(token)]
             found = self._wanted(plain, surfaces)
@@ -357,15 +361,17 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     source = docs.select(docs[id_col].alias("k"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
     marked = source.join(F.broadcast(sample), "k").select(F.xxhash64("t").alias("h"), "t", "y")  # fit_rows narrow rows; the texts stay where they are
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("words", T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("x", T.FloatType())])))])
-    held = pa.list_(pa.struct([("w", pa.string()), ("x", pa.float32())]))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = _restorer(shared)
         for whole in batches:
             for at in range(0, len(whole), 256):
                 b = whole.slice(at, 256)
-                words = [[{"w": w, "x": x} for w, x in sorted(restorer.features(t.as_py()).items())] for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words, held)], names=["h", "y", "words"])
+                every = [restorer.features(t.as_py()) for t in b.column(1)]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in every])]), pa.int32())
+                flat = [pa.array([w for f in every for w in f], pa.string()), pa.array([x for f in every for x in f.values()], pa.float32())]
+                words = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, ["w", "x"]))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), words], names=["h", "y", "words"])
 
     # copies of a text count once
     every = marked.mapInArrow(split, schema)
