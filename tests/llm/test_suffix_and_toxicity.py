@@ -59,7 +59,7 @@ def test_segments_cover_every_window_once():
     rng = random.Random(9)
     for n in (399, 400, 401, 3000):
         text = "".join(rng.choice("ab cd") for _ in range(n)).encode()
-        lo, k, core, whole = suffix_dedup.segments(text, 400)
+        lo, k, pad, core, whole = suffix_dedup.segments(text, 400)
         starts = sorted(x for a, c in zip(lo, k) for x in range(a, a + c))
         assert starts == list(range(max(0, n - 399))) and len(core) == len(whole) == len(lo)
 

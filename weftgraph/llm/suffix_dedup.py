@@ -8,11 +8,15 @@ is its parse entry. In place of a global suffix order, which only serves to brin
 and extents are brought together by hash partitioning:
 
 * a core that occurs once rules its windows out; a core whose occurrences all have one extent settles them wholly;
-* an extent that occurs twice settles its windows; of each distinct extent of a core one representative lists its
-  windows, and windows that occur twice among the representatives are repeated, too.
+* an extent that occurs twice settles its windows; of each distinct extent of a core one representative stays open;
+* open segments are cut into blocks of ``FINE`` windows at places counted from the trigger, with cores and extents of
+  their own, by the same rules; only the windows of blocks that stay open are listed one by one, and windows that occur
+  twice among the representatives are repeated, too.
 
 So long copies move as segments, and single windows are listed only where copies begin and end. Matching is by two
-64-bit hashes (core and extent, or core and window). Matches never cross documents.
+independent 64-bit hashes (core and extent, or core and window; two bases and two letter tables); bytes themselves are
+not compared. Matches never cross documents. Besides, lines of over ``LONG_LINE`` words that stand in another document,
+too, are counted, for passages that are shorter than ``length`` bytes.
 
 Defined results: null counts as empty; texts below ``length`` bytes are kept whole; repeated rows remove each other's
 bytes; texts without triggers are compared window by window; an empty table gives no rows.
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +37,14 @@ from pyspark.sql import types as T
 from weftgraph.storage import drop_table, write_table
 
 GRAM, ONE_IN = 16, 64
+#: Windows of a block.
+FINE = 16
+#: Words that a line counted as shared has more than.
+LONG_LINE = 50
 #: Texts are parsed in blocks of so many window starts.
 BLOCK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Odd multipliers of the two hashes.
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,26 +53,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_LETTER = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_LETTERS = [_mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(x)) for x in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407)]
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def _power(name: str, n: int) -> np.ndarray:
-    if len(_powers[name]) < n:
-        size = 1 << (n - 1).bit_length()
-        steps = np.full(size, _BASE if name == "up" else _INVERSE, dtype=np.uint64)
+def _power(which: int, inverse: bool, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of a base or of its inverse."""
+    key = which, inverse
+    if key not in _powers or len(_powers[key]) < n:
+        base = _BASES[which]
+        steps = np.full(1 << max(1, n - 1).bit_length(), pow(base, -1, 1 << 64) if inverse else base, dtype=np.uint64)
         steps[0] = 1
-        _powers[name] = np.multiply.accumulate(steps)
-    return _powers[name][:n]
+        _powers[key] = np.multiply.accumulate(steps)
+    return _powers[key][:n]
 
 
 class _Hashes:
-    """Hashes of any substring of a block, from prefix sums."""
+    """Hashes of any substring of a block, from prefix sums; ``which`` tells which of the two."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, which: int):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_LETTER[data] * _power("up", len(data)), out=self.sums[1:])
-        self.down = _power("down", len(data) + 1)
+        np.cumsum(_LETTERS[which][data] * _power(which, False, len(data)), out=self.sums[1:])
+        self.down = _power(which, True, len(data) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
         raw = (self.sums[end] - self.sums[start]) * self.down[start]
@@ -71,8 +82,8 @@ class _Hashes:
 
 
 def _block_segments(data: np.ndarray, windows: int, length: int) -> tuple[np.ndarray, ...]:
-    """Segments (lo, n, core, whole) of the window starts 0 to ``windows`` of a block."""
-    h = _Hashes(data)
+    """Segments (lo, n, pad, core, whole) of the window starts 0 to ``windows`` of a block; pad counts the windows that the text's end cuts off."""
+    h, other = _Hashes(data, 0), _Hashes(data, 1)
     grams = np.arange(len(data) - GRAM + 1)
     t = np.flatnonzero(h.of(grams, grams + GRAM, 1) < np.uint64((1 << 64) // ONE_IN))
     far, half = length - GRAM, length // 2
@@ -90,32 +101,62 @@ def _block_segments(data: np.ndarray, windows: int, length: int) -> tuple[np.nda
     hi = np.concatenate([near_hi[near], wide_hi[wide], alone])
     at, late = t[near], t[wide]
     core = np.concatenate([h.of(at, at + half, 2), h.of(late - half, late + GRAM, 3), h.of(alone, alone + length, 4)])
-    return lo, hi - lo + 1, core, h.of(lo, hi + length, 5)
+    pad = np.concatenate([at - near_hi[near], late - half - 1 - wide_hi[wide], np.zeros(len(alone), np.int64)])
+    return lo, hi - lo + 1, pad, core, other.of(lo, hi + length, 5)
 
 
 def segments(text: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """(lo, n, core, whole) arrays for all windows of ``text``."""
+    """(lo, n, pad, core, whole) arrays for all windows of ``text``."""
     total = len(text) - length + 1
     if total <= 0:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (*(np.zeros(0, np.int32) for _ in range(3)), *(np.zeros(0, np.int64) for _ in range(2)))
     data, parts = np.frombuffer(text, np.uint8), []
     for s in range(0, total, BLOCK):
         here = min(BLOCK, total - s)
         # triggers up to `length` after a start count, so the block reaches one length beyond its last window's start
-        lo, n, core, whole = _block_segments(data[s : s + here + length - 1], here, length)
-        parts.append((lo + s, n, core, whole))
-    lo, n, core, whole = (np.concatenate(x) for x in zip(*parts))
-    return lo.astype(np.int32), n.astype(np.int32), core.view(np.int64), whole.view(np.int64)
+        lo, *rest = _block_segments(data[s : s + here + length - 1], here, length)
+        parts.append((lo + s, *rest))
+    lo, n, pad, core, whole = (np.concatenate(x) for x in zip(*parts))
+    return lo.astype(np.int32), n.astype(np.int32), pad.astype(np.int32), core.view(np.int64), whole.view(np.int64)
 
 
-def window_hashes(text: bytes, lo: list[int], n: list[int], length: int) -> np.ndarray:
-    """Hashes of the windows lo[i] to lo[i] + n[i], in order."""
-    data, out = np.frombuffer(text, np.uint8), []
-    for a, k in zip(lo, n):
-        h = _Hashes(data[a : a + k + length - 1])
-        starts = np.arange(k)
-        out.append(h.of(starts, starts + length, 6))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+def _stretches(lo: np.ndarray, n: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Stretches of text (start, end) that runs of windows cover together, with the places of their runs."""
+    if not len(lo):
+        return
+    order = np.argsort(lo, kind="stable")
+    ends = np.maximum.accumulate((lo + n)[order]) + length - 1
+    cuts = np.flatnonzero(np.concatenate([[True], lo[order][1:] > ends[:-1]]))
+    for a, b in zip(cuts, np.append(cuts[1:], len(order))):
+        yield int(lo[order[a]]), int(ends[b - 1]), order[a:b]
+
+
+def blocks(text: bytes, lo: np.ndarray, n: np.ndarray, pad: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Blocks (lo, n, pad, core, whole) of segments: FINE windows each, at places counted back from the last window that the
+    segment would have in a longer text, so that equal windows of two texts are in blocks of the same place.
+
+    A block's core is what all its FINE windows have in common, whether the text has them all or not."""
+    data, parts = np.frombuffer(text, np.uint8), []
+    for first, end, which in _stretches(lo, n, length):
+        h, other = _Hashes(data[first:end], 0), _Hashes(data[first:end], 1)
+        for k in which:
+            low, high = lo[k] - first, lo[k] + n[k] - 1 - first
+            whole = np.arange(high + pad[k] - FINE + 1, low - FINE, -FINE)  # where whole blocks would begin
+            at, top = np.maximum(whole, low), np.minimum(whole + FINE - 1, high)
+            held = at <= top
+            whole, at, top = whole[held], at[held], top[held]
+            parts.append((at + first, top - at + 1, np.zeros(len(at), np.int64), h.of(whole + FINE - 1, whole + length, 7).view(np.int64), other.of(at, top + length, 8).view(np.int64)))
+    return tuple(np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
+
+
+def window_hashes(text: bytes, lo: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of the blocks lo to lo + n: their starts and both hashes of each."""
+    data, none, parts = np.frombuffer(text, np.uint8), np.zeros(0, np.int64), []
+    for first, end, which in _stretches(lo, n, length):
+        h, other = _Hashes(data[first:end], 0), _Hashes(data[first:end], 1)
+        x = np.unique(np.concatenate([np.arange(lo[k], lo[k] + n[k]) for k in which])) - first
+        parts.append((x + first, h.of(x, x + length, 6).view(np.int64), other.of(x, x + length, 9).view(np.int64)))
+    return tuple(np.concatenate(p) for p in zip(*parts)) if parts else (none, none, none)
 
 
 def covered(starts_lo: np.ndarray, counts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -165,86 +206,99 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
+def _settled(rows: DataFrame, label: str) -> DataFrame:
+    """(rid, hits, open) of segments or blocks (rid, lo, n, pad, core, whole): those whose windows all occur again, and the open representatives.
+
+    Cores that occur once rule their windows out. Counts combine before each shuffle, so a core that a third of the texts
+    has is no hot task there; the joins are split by adaptive execution where one still is."""
+    cores = rows.groupBy("core").agg(F.count("*").alias("times"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("times > 1")
+    again = write_table(rows.join(cores.select("core", (F.col("w0") == F.col("w1")).alias("same")), "core"), label, compression="zstd")
+    mixed = again.where("not same").select("rid", "lo", "n", "pad", "core", "whole")
+    extents = mixed.groupBy("core", "whole").agg(F.count("*").alias("times"), F.min(F.struct("rid", "lo")).alias("head"))
+    told = mixed.join(extents, ["core", "whole"])
+    run = ["rid", "lo", "n", "pad"]
+    whole = again.where("same").select(run).unionByName(told.where("times > 1").select(run))
+    every = whole.withColumn("fine", F.lit(False)).unionByName(told.where("head.rid = rid and head.lo = lo").select(run).withColumn("fine", F.lit(True)))
+    parts = every.groupBy("rid").agg(F.collect_list(F.when(~F.col("fine"), F.struct("lo", "n"))).alias("hits"), F.collect_list(F.when(F.col("fine"), F.struct("lo", "n", "pad"))).alias("open"))
+    out = write_table(parts, f"{label}-told", compression="zstd")
+    drop_table(again)
+    return out
+
+
+def _runs(column: pa.Array) -> list[list[np.ndarray]]:
+    """The fields (lo, n and maybe pad) of each list of runs, an array each."""
+    fields = [f.name for f in column.type.value_type]
+    return [[np.array([s[f] for s in v or ()], np.int64) for f in fields] for v in column.to_pylist()]
+
+
+def shared_lines(texts: DataFrame) -> DataFrame:
+    """(rid, n_shared_lines): lines of over LONG_LINE words that stand in another row's text, too, for rows (rid, body) that have any."""
+    lines = F.filter(F.split(F.col("body").cast("string"), "\n", -1), lambda x: F.size(F.split(F.trim(x), r"\s+")) > LONG_LINE)
+    each = texts.select("rid", F.explode(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b")))).alias("l")).select("rid", "l.*")
+    seen = each.groupBy("a", "b").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo != hi").select("a", "b")
+    return each.join(seen, ["a", "b"], "left_semi").groupBy("rid").agg(F.count("*").alias("n_shared_lines"))
+
+
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, carry: list[str] | None = None) -> DataFrame:
-    """One row per document: row, n_bytes, spans (array of [start, end) in bytes, removed), kept_sha256 (of the bytes left)."""
+    """One row per document: row, n_bytes, spans (array of [start, end) in bytes, removed), kept_sha256 (of the bytes left), n_shared_lines."""
     source = docs.select(
         F.struct(*[docs[c] for c in (carry or docs.columns)]).alias("row"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("body")
     )
-    row = source.schema["row"]
-    parsed = T.StructType([row, T.StructField("body", T.BinaryType()), T.StructField("lo", _INTS), T.StructField("n", _INTS), T.StructField("core", _LONGS), T.StructField("whole", _LONGS)])
+    base = write_table(source.withColumn("rid", F.monotonically_increasing_id()), "texts", compression="zstd")
+    parsed = T.StructType([T.StructField("rid", T.LongType()), T.StructField("lo", _INTS), T.StructField("n", _INTS), T.StructField("pad", _INTS), T.StructField("core", _LONGS), T.StructField("whole", _LONGS)])
+    kinds = [pa.int32()] * 3 + [pa.int64()] * 2
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            lo, n, core, whole = zip(*(segments(t.as_py(), length) for t in b.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), _lists(lo, pa.int32()), _lists(n, pa.int32()), _lists(core, pa.int64()), _lists(whole, pa.int64())], names=parsed.names
-            )
+            found = zip(*(segments(t.as_py(), length) for t in b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(_lists(c, k) for c, k in zip(found, kinds))], names=parsed.names)
 
-    base = write_table(source.mapInArrow(parse, parsed).withColumn("rid", F.monotonically_increasing_id()), "parse", compression="zstd")
-    rows = base.select("rid", F.explode(F.arrays_zip("lo", "n", "core", "whole")).alias("s")).select("rid", "s.*")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            found = zip(*(blocks(t.as_py(), *runs, length) for t, runs in zip(b.column(1), _runs(b.column(2)))))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(_lists(c, k) for c, k in zip(found, kinds))], names=parsed.names)
 
-    # cores that occur again, and whether all their occurrences have one extent
-    cores = rows.groupBy("core").agg(F.count("*").alias("times"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("times > 1")
-    cores = cores.select("core", (F.col("w0") == F.col("w1")).alias("same"))
-    again = write_table(rows.join(cores, "core"), "again", compression="zstd")
-    mixed = again.where("not same").select("rid", "lo", "n", "core", "whole")
-    extents = mixed.groupBy("core", "whole").agg(F.count("*").alias("times"), F.min(F.struct("rid", "lo")).alias("head"))
-    told = mixed.join(extents, ["core", "whole"])
-    whole = again.where("same").select("rid", "lo", "n").unionByName(told.where("times > 1").select("rid", "lo", "n"))
-    fine = told.where("head.rid = rid and head.lo = lo").select("rid", "lo", "n", "core")
-    per_doc = (
-        whole.select("rid", "lo", "n", F.lit(None).cast("long").alias("core")).unionByName(fine.select("rid", "lo", "n", "core"))
-        .groupBy("rid").agg(F.collect_list(F.struct("lo", "n", F.coalesce("core", F.lit(0)).alias("core"), F.col("core").isNotNull().alias("fine"))).alias("ss"))
-    )
-    per_doc = write_table(per_doc, "flagged", compression="zstd")
-    drop_table(again)
-    wide = base.select("rid", "row", "body").join(per_doc, "rid", "left").select("rid", "row", "body", "ss")
-    listed = T.StructType([
-        T.StructField("rid", T.LongType()), row, T.StructField("n_bytes", T.LongType()), T.StructField("body", T.BinaryType()), T.StructField("w_lo", _INTS), T.StructField("w_n", _INTS),
-        T.StructField("x", _INTS), T.StructField("core", _LONGS), T.StructField("h", _LONGS), T.StructField("kept_sha256", T.StringType()),
-    ])
+    def flat(df: DataFrame) -> DataFrame:
+        return df.select("rid", F.explode(F.arrays_zip("lo", "n", "pad", "core", "whole")).alias("s")).select("rid", "s.*")
+
+    texts = base.select("rid", "body")
+    parse_table = write_table(texts.mapInArrow(parse, parsed), "parse", compression="zstd")
+    first = _settled(flat(parse_table), "segments")
+    drop_table(parse_table)
+    open_ = first.where("size(open) > 0").select("rid", "open")
+    block_table = write_table(texts.join(open_, "rid").select("rid", "body", "open").mapInArrow(cut, parsed), "blocks", compression="zstd")
+    second = _settled(flat(block_table), "fine")
+    drop_table(block_table)
+
+    listed = T.StructType([T.StructField("rid", T.LongType()), T.StructField("x", _INTS), T.StructField("a", _LONGS), T.StructField("b", _LONGS)])
 
     def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
         for b in _slices(batches):
-            sizes, bodies, shas, cols = [], [], [], ([], [], [], [], [])
-            for body, ss in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                ss = ss or []
-                w = [s for s in ss if not s["fine"]]
-                f = [s for s in ss if s["fine"]]
-                x = np.concatenate([np.arange(s["lo"], s["lo"] + s["n"]) for s in f]) if f else none
-                core = np.concatenate([np.full(s["n"], s["core"]) for s in f]) if f else none
-                h = window_hashes(body, [s["lo"] for s in f], [s["n"] for s in f], length)
-                lo, n = np.array([s["lo"] for s in w], np.int64), np.array([s["n"] for s in w], np.int64)
-                for col, v in zip(cols, (lo, n, x, core, h)):
-                    col.append(v)
-                sizes.append(len(body))
-                bodies.append(body if f else None)
-                shas.append(None if f else _kept_sha(body, covered(lo, n, length)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary()), *[_lists(c, k) for c, k in zip(cols, [pa.int32()] * 3 + [pa.int64()] * 2)], pa.array(shas, pa.string())],
-                names=listed.names,
-            )
-
-    found = write_table(wide.mapInArrow(list_windows, listed), "windows", compression="zstd")
-    drop_table(base)
-    drop_table(per_doc)
-    single = found.select("rid", F.explode(F.arrays_zip("x", "core", "h")).alias("s")).select("rid", "s.*")
-    twice = single.groupBy("core", "h").agg(F.count("*").alias("times")).where("times > 1").select("core", "h")
-    hits = single.join(twice, ["core", "h"]).groupBy("rid").agg(F.collect_list("x").alias("hx"))
-    out = T.StructType([row, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(_INTS)), T.StructField("kept_sha256", T.StringType())])
+            found = zip(*(window_hashes(t.as_py(), *runs[:2], length) for t, runs in zip(b.column(1), _runs(b.column(2)))))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(_lists(c, k) for c, k in zip(found, [pa.int32(), pa.int64(), pa.int64()]))], names=listed.names)
+
+    open_ = second.where("size(open) > 0").select("rid", "open")
+    windows = write_table(texts.join(open_, "rid").select("rid", "body", "open").mapInArrow(list_windows, listed), "windows", compression="zstd")
+    single = windows.select("rid", F.explode(F.arrays_zip("x", "a", "b")).alias("s")).select("rid", "s.*")
+    twice = single.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1").select("a", "b")
+    third = write_table(single.join(twice, ["a", "b"]).groupBy("rid").agg(F.collect_list(F.struct(F.col("x").alias("lo"), F.lit(1).alias("n"))).alias("hits")), "hits")
+    drop_table(windows)
+
+    hits = reduce(DataFrame.unionByName, [t.select("rid", "hits") for t in (first, second, third)]).where("size(hits) > 0")
+    hits = write_table(hits.groupBy("rid").agg(F.flatten(F.collect_list("hits")).alias("hits")).join(shared_lines(texts), "rid", "full"), "all-hits", compression="zstd")
+    row = source.schema["row"]
+    out = T.StructType([row, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(_INTS)), T.StructField("kept_sha256", T.StringType()), T.StructField("n_shared_lines", T.LongType())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            spans, shas = [], []
-            for body, lo, n, hx, sha in zip(*(b.column(k).to_pylist() for k in range(2, 7))):
-                hx = hx or []
-                s = covered(np.array(lo + hx, np.int64), np.array(n + [1] * len(hx), np.int64), length)
+            sizes, spans, shas = [], [], []
+            for body, (lo, n) in zip(b.column(1), _runs(b.column(2))):
+                text = body.as_py()
+                s = covered(lo, n, length)
+                sizes.append(len(text))
                 spans.append([list(x) for x in s])
-                shas.append(_kept_sha(body, s) if sha is None else sha)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(_I32)), pa.array(shas, pa.string())], names=out.names)
+                shas.append(_kept_sha(text, s))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(_I32)), pa.array(shas, pa.string()), b.column(3)], names=out.names)
 
-    needed = ["row", "n_bytes", "body", "w_lo", "w_n", "hx", "kept_sha256"]
-    settled = found.where("kept_sha256 is not null").withColumn("hx", F.array().cast("array<int>")).select(needed)
-    open_ = found.where("kept_sha256 is null").join(hits, "rid", "left").select(needed)
-    return settled.unionByName(open_).mapInArrow(finish, out)
+    told = base.join(hits, "rid", "left").select("row", "body", "hits", F.coalesce("n_shared_lines", F.lit(0)).cast("long").alias("n_shared_lines"))
+    return told.mapInArrow(finish, out)
