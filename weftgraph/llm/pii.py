@@ -3,12 +3,14 @@
 Base kinds (email, ip, card, phone) are leftmost non-overlapping matches with their checks. Tokens with a digit or an
 at sign are the nodes of a field with labels none, email, ip, card, phone: unary potentials from a softmax over shape
 and context features, chain potentials between neighbouring nodes, and skip potentials between a node and the last one
-with the same or a similar key (equal text, or the same last seven digits), so that mentions agree across the document.
+with the same key (equal text, or the same last seven digits) and the last similar one (equal but for one character in
+each, by one-deletion variants), so that mentions agree across the document.
 Base spans are evidence. Loopy sum-product message passing gives marginals; a node outside the base spans whose best
 label is a kind with at least ``least`` probability becomes a span of that kind's ``crf_`` name.
 
-The weights are learned here from a bounded sample of documents (``train_docs``, by hash of the text), with the base
-spans as labels; spans are then found in all documents and whole texts. Positions are code points, ends exclusive.
+The weights are learned here by pseudo-likelihood, unary, chain and skip potentials together and under the mask of labels
+that inference uses, from a bounded sample of distinct documents (``train_docs``, by hash of the text, the first
+``TRAIN_TOKENS`` tokens of each), with the base spans as labels; spans are then found in all documents and whole texts. Positions are code points, ends exclusive.
 
 Defined results: null counts as empty and has no spans; repeated rows are searched one by one; without any training
 token the field keeps its prior weights; an empty table gives no rows.
@@ -29,7 +31,10 @@ from pyspark.sql import types as T
 BASE = ["email", "ip", "card", "phone"]
 KINDS = BASE + [f"crf_{k}" for k in BASE]
 LABELS = 1 + len(BASE)
-TRAIN_DOCS = 2000
+#: Bounds of the fitted sample: documents, and tokens of each.
+TRAIN_DOCS, TRAIN_TOKENS = 2000, 300
+#: Lengths of tokens that have similar ones.
+SIMILAR_CHARS = (6, 40)
 LEAST = 0.8
 ROUNDS, DAMPING, EVIDENCE, SKIP_PRIOR = 12, 0.3, 12.0, 2.5
 
@@ -125,7 +130,10 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> Nodes:
         end = start + len(token)
         while k < len(base) and base[k][2] <= start:
             k += 1
-        label = next((b[1] + 1 for b in base[k : k + 4] if b[0] < end and b[2] > start), 0)
+        label, j = 0, k
+        while not label and j < len(base) and base[j][0] < end:
+            label = base[j][1] + 1 if base[j][2] > start else 0
+            j += 1
         digits = re.sub("[^0-9]", "", token)
         spans.append((start, end))
         allowed.append(_allowed(token))
@@ -142,13 +150,20 @@ class Field(NamedTuple):
 
 
 def _edges(n: Nodes) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbouring nodes (at most three characters apart), and of nodes with the same key (each with the last one)."""
+    """Pairs of neighbouring nodes (at most three characters apart), and of nodes with the same or a similar key (each with the last ones)."""
     chain = [(i, i + 1) for i in range(len(n.spans) - 1) if n.spans[i + 1][0] - n.spans[i][1] <= 3]
     last: dict[str, int] = {}
+    near: dict[str, int] = {}
     skip = []
     for i, key in enumerate(n.keys):
         if key in last:
             skip.append((last[key], i))
+        if SIMILAR_CHARS[0] <= len(key) <= SIMILAR_CHARS[1]:
+            variants = {key[:k] + key[k + 1 :] for k in range(len(key))} | {key}
+            other = max((near[v] for v in variants if v in near), default=-1)
+            if other >= 0 and n.keys[other] != key:
+                skip.append((other, i))
+            near.update(dict.fromkeys(variants, i))
         last[key] = i
     return np.array(chain, dtype=np.int64).reshape(-1, 2), np.array(skip, dtype=np.int64).reshape(-1, 2)
 
@@ -183,25 +198,35 @@ def marginals(n: Nodes, field: Field) -> np.ndarray:
 
 
 def fit(samples: list[Nodes], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Field:
-    """Softmax weights by gradient descent; chain and skip potentials are log ratios of smoothed label pair counts."""
-    unary, chain, skip = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.eye(LABELS) * SKIP_PRIOR
-    skip[0, 0] = 0.0
+    """Potentials by gradient ascent of the pseudo-likelihood: each node's label given its neighbours' labels, among the labels it can have.
+
+    Decay pulls the skip potentials towards their prior, which makes equal labels likelier, and the others towards zero."""
+    unary, chain, prior = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.eye(LABELS) * SKIP_PRIOR
+    prior[0, 0] = 0.0
+    skip = prior.copy()
     samples = [s for s in samples if len(s.labels)]
     if not samples:
         unary[0, 0] = 2.0
         return Field(unary, chain, skip)
     x, y = np.concatenate([s.features for s in samples]), np.concatenate([s.labels for s in samples])
+    masked = np.where(np.concatenate([s.allowed for s in samples]), 0.0, -EVIDENCE)
+    masked[np.arange(len(y)), y] = 0.0
+    starts = np.cumsum([0] + [len(s.labels) for s in samples])
+    pairs = [np.concatenate(p) for p in zip(*([e + at for e in _edges(s)] for s, at in zip(samples, starts)))]
     target = np.eye(LABELS)[y]
     for _ in range(rounds):
-        score = x @ unary
-        p = np.exp(score - _log_sum(score, 1)[:, None])
-        unary -= rate * (x.T @ (p - target) / len(x) + decay * unary)
-    counts = {"chain": np.ones((LABELS, LABELS)), "skip": np.ones((LABELS, LABELS))}
-    for s in samples:
-        for name, pairs in zip(counts, _edges(s)):
-            np.add.at(counts[name], (s.labels[pairs[:, 0]], s.labels[pairs[:, 1]]), 1)
-    ratio = {k: np.log(c * c.sum() / np.outer(c.sum(1), c.sum(0))) for k, c in counts.items()}
-    return Field(unary, ratio["chain"].clip(-3, 3), skip + ratio["skip"].clip(-1, 1) * (1 - np.eye(LABELS)))
+        score = x @ unary + masked
+        for table, e in zip((chain, skip), pairs):
+            np.add.at(score, e[:, 1], table[y[e[:, 0]]])
+            np.add.at(score, e[:, 0], table.T[y[e[:, 1]]])
+        gap = (target - np.exp(score - _log_sum(score, 1)[:, None])) / len(x)
+        unary += rate * (x.T @ gap - decay * unary)
+        for table, e, rest in zip((chain, skip), pairs, (0.0, prior)):
+            g = np.zeros((LABELS, LABELS))
+            np.add.at(g, y[e[:, 0]], gap[e[:, 1]])
+            np.add.at(g.T, y[e[:, 1]], gap[e[:, 0]])
+            table += rate * (g - decay * (table - rest))
+    return Field(unary, chain, skip)
 
 
 def find_spans(text: str, field: Field, least: float = LEAST) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -222,21 +247,25 @@ def find_pii(docs: DataFrame, text_col: str = "text", carry: list[str] | None =
     """One row per document: row, spans (array of (start, kind, end); kind is a place in KINDS), by start, then kind."""
     text = F.coalesce(docs[text_col], F.lit(""))
     base = docs.select(F.struct(*[docs[c] for c in (carry or docs.columns)]).alias("row"), text.alias("text"))
-    sample = base.where(F.rlike("text", F.lit("[0-9@]"))).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(train_docs)
+    # hashes alone find the sample; then one text of each chosen hash is read
+    hinted = base.where(F.rlike("text", F.lit("[0-9@]"))).select("text", F.xxhash64("text").alias("h"))
+    chosen = hinted.select("h").distinct().orderBy("h").limit(train_docs).agg(F.max("h")).first()[0] if train_docs else None
+    sample = hinted.where(F.col("h") <= F.lit(chosen)).groupBy("h").agg(F.min("text").alias("text")) if chosen is not None else hinted.limit(0)
     tokens = T.StructType([T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("features", T.ArrayType(T.DoubleType())),
-                           T.StructField("labels", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.StringType()))])
+                           T.StructField("labels", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("allowed", T.ArrayType(T.BooleanType()))])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [nodes_of(t, base_spans(t)) for t in b.column(0).to_pylist()]
+            every = [nodes_of(t, base_spans(t)) for t in b.column(0).to_pylist()]
+            found = [Nodes(*(f[:TRAIN_TOKENS] for f in n)) for n in every]
             yield pa.RecordBatch.from_pydict(
                 {"spans": [[list(s) for s in n.spans] for n in found], "features": [n.features.ravel().tolist() for n in found],
-                 "labels": [n.labels.tolist() for n in found], "keys": [n.keys for n in found]},
-                schema=pa.schema([("spans", pa.list_(pa.list_(pa.int32()))), ("features", pa.list_(pa.float64())), ("labels", pa.list_(pa.int64())), ("keys", pa.list_(pa.string()))]),
+                 "labels": [n.labels.tolist() for n in found], "keys": [n.keys for n in found], "allowed": [n.allowed.ravel().tolist() for n in found]},
+                schema=pa.schema([("spans", pa.list_(pa.list_(pa.int32()))), ("features", pa.list_(pa.float64())), ("labels", pa.list_(pa.int64())), ("keys", pa.list_(pa.string())), ("allowed", pa.list_(pa.bool_()))]),
             )
 
-    rows = sample.select("text").mapInArrow(features, tokens).collect() if train_docs else []
-    field = fit([Nodes([tuple(s) for s in r.spans], np.array(r.features).reshape(-1, FEATURES), np.array(r.labels, dtype=np.int64), r.keys, np.ones((len(r.labels), LABELS), bool)) for r in rows])
+    rows = sample.select("text").mapInArrow(features, tokens).orderBy("keys", "labels").collect()  # train_docs x TRAIN_TOKENS small rows at most
+    field = fit([Nodes([tuple(s) for s in r.spans], np.array(r.features).reshape(-1, FEATURES), np.array(r.labels, dtype=np.int64), r.keys, np.array(r.allowed, dtype=bool).reshape(-1, LABELS)) for r in rows])
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())])
     out = T.StructType([base.schema["row"], T.StructField("spans", T.ArrayType(span))])
     arrow_span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))

@@ -212,7 +212,10 @@ def _settled(rows: DataFrame, label: str) -> DataFrame:
     Cores that occur once rule their windows out. Counts combine before each shuffle, so a core that a third of the texts
     has is no hot task there; the joins are split by adaptive execution where one still is."""
     cores = rows.groupBy("core").agg(F.count("*").alias("times"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("times > 1")
-    again = write_table(rows.join(cores.select("core", (F.col("w0") == F.col("w1")).alias("same")), "core"), label, compression="zstd")
+    # written apart, so that the counts' shuffle is gone before the rows move
+    cores = write_table(cores.select("core", (F.col("w0") == F.col("w1")).alias("same")), f"{label}-cores", compression="zstd")
+    again = write_table(rows.join(cores, "core"), label, compression="zstd")
+    drop_table(cores)
     mixed = again.where("not same").select("rid", "lo", "n", "pad", "core", "whole")
     extents = mixed.groupBy("core", "whole").agg(F.count("*").alias("times"), F.min(F.struct("rid", "lo")).alias("head"))
     told = mixed.join(extents, ["core", "whole"])
