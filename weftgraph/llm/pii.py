@@ -37,6 +37,8 @@ TRAIN_DOCS, TRAIN_TOKENS = 2000, 300
 SIMILAR_CHARS = (6, 40)
 LEAST = 0.8
 ROUNDS, DAMPING, EVIDENCE, SKIP_PRIOR = 12, 0.3, 12.0, 2.5
+#: How strongly the pair potentials are held to their prior.
+PULL = 0.1
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -150,20 +152,23 @@ class Field(NamedTuple):
 
 
 def _edges(n: Nodes) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbouring nodes (at most three characters apart), and of nodes with the same or a similar key (each with the last ones)."""
+    """Pairs of neighbouring nodes (at most three characters apart), and of nodes with the same or a similar key (each with
+    the first and the last one of its key, and with the last similar one)."""
     chain = [(i, i + 1) for i in range(len(n.spans) - 1) if n.spans[i + 1][0] - n.spans[i][1] <= 3]
+    first: dict[str, int] = {}
     last: dict[str, int] = {}
     near: dict[str, int] = {}
     skip = []
     for i, key in enumerate(n.keys):
         if key in last:
-            skip.append((last[key], i))
+            skip += [(j, i) for j in {first[key], last[key]}]
         if SIMILAR_CHARS[0] <= len(key) <= SIMILAR_CHARS[1]:
             variants = {key[:k] + key[k + 1 :] for k in range(len(key))} | {key}
             other = max((near[v] for v in variants if v in near), default=-1)
             if other >= 0 and n.keys[other] != key:
                 skip.append((other, i))
             near.update(dict.fromkeys(variants, i))
+        first.setdefault(key, i)
         last[key] = i
     return np.array(chain, dtype=np.int64).reshape(-1, 2), np.array(skip, dtype=np.int64).reshape(-1, 2)
 
@@ -200,7 +205,8 @@ def marginals(n: Nodes, field: Field) -> np.ndarray:
 def fit(samples: list[Nodes], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Field:
     """Potentials by gradient ascent of the pseudo-likelihood: each node's label given its neighbours' labels, among the labels it can have.
 
-    Decay pulls the skip potentials towards their prior, which makes equal labels likelier, and the others towards zero."""
+    Nodes without a base span whose key a base span shares are left out. The pair potentials are held to their prior (equal labels
+    likelier at skips, none at the chain), the unary ones to zero."""
     unary, chain, prior = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.eye(LABELS) * SKIP_PRIOR
     prior[0, 0] = 0.0
     skip = prior.copy()
@@ -213,6 +219,12 @@ def fit(samples: list[Nodes], rounds: int = 300, rate: float = 0.5, decay: float
     masked[np.arange(len(y)), y] = 0.0
     starts = np.cumsum([0] + [len(s.labels) for s in samples])
     pairs = [np.concatenate(p) for p in zip(*([e + at for e in _edges(s)] for s, at in zip(samples, starts)))]
+    # a mention of what is labelled elsewhere in its document is no example of none: its label counts as not known
+    hidden = np.zeros(len(y), dtype=bool)
+    for a, b in ((0, 1), (1, 0)):
+        hidden[pairs[1][:, a][y[pairs[1][:, b]] > 0]] = True
+    hidden &= y == 0
+    pairs = [e[~hidden[e].any(1)] for e in pairs]
     target = np.eye(LABELS)[y]
     for _ in range(rounds):
         score = x @ unary + masked
@@ -220,12 +232,13 @@ def fit(samples: list[Nodes], rounds: int = 300, rate: float = 0.5, decay: float
             np.add.at(score, e[:, 1], table[y[e[:, 0]]])
             np.add.at(score, e[:, 0], table.T[y[e[:, 1]]])
         gap = (target - np.exp(score - _log_sum(score, 1)[:, None])) / len(x)
+        gap[hidden] = 0.0
         unary += rate * (x.T @ gap - decay * unary)
         for table, e, rest in zip((chain, skip), pairs, (0.0, prior)):
             g = np.zeros((LABELS, LABELS))
             np.add.at(g, y[e[:, 0]], gap[e[:, 1]])
             np.add.at(g.T, y[e[:, 1]], gap[e[:, 0]])
-            table += rate * (g - decay * (table - rest))
+            table += rate * (g - PULL * (table - rest))
     return Field(unary, chain, skip)
 
 
