@@ -14,6 +14,7 @@ ENTRY_TEST_INSIDE = [
     ".integrationtests/", ".unittests/", "/testproject/", "/spec/",
 ]
 ENTRY_TEST_ENDS = ["_test.py", "_test.go", "tests.swift", "test.swift", "tests.cs", "test.cs", "test.php", "spec.php", "_spec.rb", "_test.rb"]
+#: Parts of paths that mark utility files (fixed values).
 UTILITY_INSIDE = ["/utils/", "/util/", "/helpers/", "/helper/", "/common/", "/shared/", "/lib/"]
 UTILITY_ENDS = ["/utils.ts", "/utils.js", "/helpers.ts", "/helpers.js", "_utils.py", "_helpers.py"]
 
@@ -89,9 +90,9 @@ def short_description(text: Column, limit: int = 150) -> Column:
 
 
 def clean_content(text: Column) -> Column:
-    """Unix line ends, no trailing blanks, at most one empty line in a row."""
+    """Unix line ends, no trailing blanks, at most one empty line in a row, nothing blank around the whole."""
     lines = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n", -1), lambda x: F.rtrim(x))
-    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def chunks(text: Column, size: int = 1200, overlap: int = 120) -> Column:

@@ -89,23 +89,31 @@ def inherited(seeds: DataFrame, extends: DataFrame, methods: DataFrame, method:
     return first.where("r.n = 1").select("r.depth", "r.owner")
 
 
-def innermost(points: DataFrame, scopes: DataFrame) -> DataFrame:
-    """(point_id, scope_id): the narrowest scope of the same file that holds each line; ties go to the later start, then id."""
-    both = points.join(scopes, "file").where("line between start_line and end_line")
+def innermost(points: DataFrame, scopes: DataFrame, width: int = 64) -> DataFrame:
+    """(point_id, scope_id): the narrowest scope of the same file that holds each line; ties go to the later start, then id.
+
+    Scopes are cut into bins of ``width`` lines and meet the points on (file, bin), so that a long file is not one key."""
+    bins = F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width)))
+    binned = scopes.where("start_line <= end_line").withColumn("bin", bins)
+    both = points.withColumn("bin", F.floor(F.col("line") / width)).join(binned, ["file", "bin"]).where("line between start_line and end_line")
     order = F.struct((F.col("end_line") - F.col("start_line")).alias("w"), (-F.col("start_line")).alias("s"), "scope_id")
     return both.groupBy("point_id").agg(F.min(order)["scope_id"].alias("scope_id"))
 
 
 def sections(headings: DataFrame) -> DataFrame:
     """Section end and parent for headings (doc, line, level, last_line): the end is before the next heading of the same or a
-    higher level, the parent the nearest earlier heading of a lower number. A document's headings are few."""
+    higher level, the parent the nearest earlier heading of a lower number. Levels run from 1 to 6.
+
+    Six running minima and maxima, one for each level, in one pass over each document's headings."""
     w = Window.partitionBy("doc").orderBy("line")
-    later = F.collect_list(F.struct("line", "level")).over(w.rowsBetween(1, Window.unboundedFollowing))
-    earlier = F.collect_list(F.struct("level", "line")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    h = headings.withColumn("later", later).withColumn("earlier", earlier)
-    nxt = F.try_element_at(F.filter("later", lambda x: x.level <= F.col("level")), F.lit(1))
-    parent = F.try_element_at(F.filter("earlier", lambda x: x.level < F.col("level")), F.lit(-1))
-    return h.select("doc", "line", "level", F.coalesce(nxt["line"] - 1, F.col("last_line")).alias("end_line"), parent["line"].alias("parent_line"))
+    after, before = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+    levels = range(1, 7)
+    h = headings.select(
+        "*", *[F.min(F.when(F.col("level") <= k, F.col("line"))).over(after).alias(f"next{k}") for k in levels],
+        *[F.max(F.when(F.col("level") < k, F.col("line"))).over(before).alias(f"above{k}") for k in levels],
+    )
+    at = lambda name: F.coalesce(*[F.when(F.col("level") == k, F.col(f"{name}{k}")) for k in levels])
+    return h.select("doc", "line", "level", F.coalesce(at("next") - 1, F.col("last_line")).alias("end_line"), at("above").alias("parent_line"))
 
 
 def capped_evidence(signals: DataFrame) -> DataFrame:

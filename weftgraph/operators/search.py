@@ -156,6 +156,37 @@ def within(vectors: DataFrame, queries: DataFrame, max_distance: float, block: i
     return reduce(DataFrame.unionByName, parts).groupBy("query_id").agg(F.sum("n").alias("n"))
 
 
+#: Least score of a sure pick, and how much more it must have than the next (fixed values).
+SURE, GAP = 0.95, 0.09
+
+
+def confident(candidates: DataFrame, key: str, sure: float = SURE, gap: float = GAP) -> DataFrame:
+    """(key, id, score, sure): the best candidate (key, id, score) of each key, ties by id, and whether it stands out.
+
+    Two maxima over structs, so that candidates combine before the shuffle and no key is sorted in one task."""
+    rank = F.struct(F.col("score").alias("s"), (-F.col("id")).alias("i"))
+    best = candidates.groupBy(key).agg(F.max(rank).alias("b")).select(key, F.col("b.s").alias("score"), (-F.col("b.i")).alias("id"))
+    rest = candidates.join(best.select(F.col(key).alias("k"), F.col("id").alias("first")), F.col(key) == F.col("k")).where("id != first")
+    second = rest.groupBy(key).agg(F.max("score").alias("next"))
+    ahead = F.round(F.col("score") - F.coalesce("next", F.lit(0.0)), 6)
+    return best.join(second, key, "left").select(key, "id", "score", ((F.col("score") >= sure) & (ahead > gap)).alias("sure"))
+
+
+def bm25_fields(docs: DataFrame, query: str, fields: list[str], id_col: str = "id", stemmed: bool = True, limit: int | None = None) -> DataFrame:
+    """(id, score): BM25 of each text field, summed; with ``stemmed`` words and query meet on their Porter stems."""
+    from weftgraph.functions.stems import porter, stems
+
+    words = "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()
+    asked = " ".join(porter(w) for w in words) if stemmed else " ".join(words)
+    scored = []
+    for f in fields:
+        own = terms(F.coalesce(F.col(f), F.lit("")))
+        texts = docs.select(F.col(id_col).alias("id"), F.array_join(stems(own) if stemmed else own, " ").alias("text"))
+        scored.append(bm25(texts, asked, "id"))
+    total = reduce(DataFrame.unionByName, scored).groupBy("id").agg(F.round(F.sum("score"), 6).alias("score")).orderBy(F.desc("score"), "id")
+    return total if limit is None else total.limit(limit)
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

@@ -64,9 +64,9 @@ def relation_counts(s, d):
     return graph_edges(s, d).groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean"))
 
 
-@query("label_scan", f"with {NODES} select id, name, value from nodes where label = 'Part' and value >= 1200 and value < 1500 and name <> ''")
+@query("label_scan", f"with {NODES} select id, name, value from nodes where label = 'Part' and value >= 905 and value < 915 and name <> ''")
 def label_scan(s, d):
-    n = graph_nodes(s, d).where("label = 'Part' and value >= 1200 and value < 1500 and name <> ''")
+    n = graph_nodes(s, d).where("label = 'Part' and value >= 905 and value < 915 and name <> ''")
     return n.select("id", "name", "value")
 
 
@@ -159,9 +159,10 @@ def exists_orders(s, d):
     return pattern.having(graph_nodes(s, d, ["Customer"]), graph_edges(s, d, ["PLACED"]), "PLACED").select("id")
 
 
-@query("not_exists_orders", "select 'Customer:' || c_custkey as id from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("not_exists_orders", "select 'Customer:' || c_custkey as id from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def not_exists_orders(s, d):
-    return pattern.having(graph_nodes(s, d, ["Customer"]), graph_edges(s, d, ["PLACED"]), "PLACED", negate=True).select("id")
+    urgent = graph_nodes(s, d, ["Order"]).where("name = '1-URGENT'").select(F.col("id").alias("dst"))
+    return pattern.having(graph_nodes(s, d, ["Customer"]), graph_edges(s, d, ["PLACED"]).join(urgent, "dst", "left_semi"), "PLACED", negate=True).select("id")
 
 
 @query("hub_cross_nation", """with l as (select distinct l_partkey, l_suppkey from lineitem), p as (select l_partkey, s_nationkey, count(*) as n from l join supplier on s_suppkey = l_suppkey group by all)
@@ -174,14 +175,14 @@ def hub_cross_nation(s, d):
     return a.join(b, "l_partkey").where("a != b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
 
 
-@query("range_overlap_price_bands", """with b as (select 'Brand#' || x as k, lo, lo + 150 as hi from range(11, 56) t(x), (values (1000), (1300), (1700)) v(lo)),
+@query("range_overlap_price_bands", """with b as (select 'Brand#' || x as k, lo, lo + 5 as hi from range(1, 26) t(x), (values (895), (912), (930)) v(lo)),
  p as (select p_partkey, p_brand, floor(p_retailprice)::bigint as lo, floor(p_retailprice)::bigint + p_size as hi from part)
  select p_partkey, b.lo as band from p join b on p_brand = k and p.lo <= b.hi and b.lo <= p.hi""")
 def range_overlap(s, d):
-    band = s.range(11, 56).select(F.concat(F.lit("Brand#"), F.col("id").cast("string")).alias("k"), F.explode(F.expr("array(1000L, 1300L, 1700L)")).alias("r_start"))
-    band = band.withColumn("r_end", F.col("r_start") + 150)
+    band = s.range(1, 26).select(F.concat(F.lit("Brand#"), F.col("id").cast("string")).alias("k"), F.explode(F.expr("array(895L, 912L, 930L)")).alias("r_start"))
+    band = band.withColumn("r_end", F.col("r_start") + 5)
     spans = table(s, d, "part").select("p_partkey", F.col("p_brand").alias("k"), F.floor("p_retailprice").alias("s_start"), (F.floor("p_retailprice") + F.col("p_size")).alias("s_end"))
-    return pattern.overlapping(band, spans, "k", 100).select("p_partkey", F.col("r_start").alias("band"))
+    return pattern.overlapping(band, spans, "k", 16).select("p_partkey", F.col("r_start").alias("band"))
 
 
 @query("point_in_interval", """select l_orderkey, l_linenumber, l_partkey, count(*) as n from lineitem join orders on l_orderkey = o_orderkey
@@ -323,7 +324,13 @@ def impact_of_hub(s, d):
     return traverse.bfs(seeds, graph_edges(s, d, ["PLACED", "CONTAINS"]), 2)
 
 
-@query("neighbourhood_2", None)
+@query("neighbourhood_2", E + """, k as (select * from edges where type in ('IN_NATION', 'IN_REGION', 'PLACED')),
+ d1 as (select distinct dst as node from k where src = 'Nation:3'), d2 as (select distinct dst as node from k where src in (select node from d1)),
+ u1 as (select distinct src as node from k where dst = 'Nation:3'), u2 as (select distinct src as node from k where dst in (select node from u1)),
+ every as (select 'Nation:3' as node, 0 as far, 0 as depth union all select node, 1, 1 from d1 union all select node, 2, 2 from d2 union all select node, 1, -1 from u1 union all select node, 2, -2 from u2),
+ near as (select node, arg_min(depth, (far, -depth)) as depth from every group by node),
+ inside as (select count(*) as edges from k where src in (select node from near) and dst in (select node from near))
+ select depth, count(*) as n, any_value(edges) as edges from near, inside group by depth""")
 def neighbourhood_2(s, d):
     seeds = s.createDataFrame([("Nation:3",)], "id string")
     near, inside = traverse.neighbourhood(seeds, graph_edges(s, d, ["IN_NATION", "IN_REGION", "PLACED"]), 2)
@@ -344,7 +351,7 @@ def process_paths(s, d):
     return traverse.drop_subpaths(paths).select("entry", "terminal", F.array_join("path", ">").alias("path"))
 
 
-@query("topological_levels", None)
+@query("topological_levels", """select 0 as level, (select count(*) from region) as n union all select 1, (select count(*) from nation) union all select 2, (select count(*) from customer) + (select count(*) from supplier)""")
 def topological_levels(s, d):
     e = graph_edges(s, d, ["IN_NATION", "IN_REGION"])
     return traverse.topological_levels(graph_nodes(s, d, ["Region", "Nation", "Customer", "Supplier"]), e).groupBy("level").agg(F.count("*").alias("n"))
@@ -541,7 +548,9 @@ def folder_tree(s, d):
     return files.folder_edges(table(s, d, "pages").select(F.concat(F.lit("pages/"), F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)).alias("path")))
 
 
-@query("markdown_sections", None)
+@query("markdown_sections", """with c as (select conv_id as doc, turn as line, min(case when turn = 0 then 1 else turn % 3 + 1 end) as level from conversations group by all), l as (select doc, max(line) as last from c group by doc)
+ select doc, line, level, coalesce((select min(b.line) - 1 from c b where b.doc = c.doc and b.line > c.line and b.level <= c.level), last) as end_line,
+ (select max(b.line) from c b where b.doc = c.doc and b.line < c.line and b.level < c.level) as parent_line from c join l using (doc)""")
 def markdown_sections(s, d):
     c = table(s, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("line"), F.when(F.col("turn") == 0, 1).otherwise(F.col("turn") % 3 + 1).alias("level"))
     last = c.groupBy("doc").agg(F.max("line").alias("last_line"))

@@ -106,19 +106,17 @@ def innermost_scope(s, d):
     return hierarchy.innermost(points, scopes)
 
 
-@query("confident_pick", """with t as (select p_brand, p_partkey, round(p_retailprice / 2500, 4) as s from part), r as (select *, row_number() over w as k, lead(s) over w as nxt from t window w as (partition by p_brand order by s desc, p_partkey))
- select p_brand, p_partkey, s >= 0.5 and s - coalesce(nxt, 0) > 0.001 as sure from r where k = 1""")
+@query("confident_pick", """with t as (select p_brand, p_partkey, round(p_size / 50.0::double, 4) as s from part), r as (select *, row_number() over w as k, lead(s) over w as nxt from t window w as (partition by p_brand order by s desc, p_partkey))
+ select p_brand, p_partkey, s as score, s >= 0.95 and round(s - coalesce(nxt, 0), 6) > 0.09 as sure from r where k = 1""")
 def confident_pick(s, d):
-    t = table(s, d, "part").select("p_brand", "p_partkey", F.round(F.col("p_retailprice") / 2500, 4).alias("s"))
-    w = Window.partitionBy("p_brand").orderBy(F.desc("s"), "p_partkey")
-    r = t.withColumn("k", F.row_number().over(w)).withColumn("nxt", F.lead("s").over(w)).where("k = 1")
-    return r.select("p_brand", "p_partkey", ((F.col("s") >= 0.5) & (F.col("s") - F.coalesce("nxt", F.lit(0)) > 0.001)).alias("sure"))
+    t = table(s, d, "part").select("p_brand", F.col("p_partkey").alias("id"), F.round(F.col("p_size") / 50, 4).alias("score"))
+    return search.confident(t, "p_brand").withColumnRenamed("id", "p_partkey")
 
 
-@query("orphans", """select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey) and not exists (select 1 from events where user_id = c_custkey and event_type = 'purchase')""")
+@query("orphans", """select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT') and not exists (select 1 from events where user_id = c_custkey and event_type = 'purchase')""")
 def orphans(s, d):
     c = table(s, d, "customer").select("c_custkey")
-    c = c.join(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    c = c.join(table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
     return c.join(table(s, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("c_custkey")), "c_custkey", "left_anti")
 
 
