@@ -70,6 +70,22 @@ def test_token_counts_equal_library(spark, sf_dir):
     assert token_counts.count_tokens(docs.limit(0), path).count() == 0
 
 
+def test_runs_beyond_the_plain_range_equal_library(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lengths, tok = token_counts.Lengths(token_counts.frequent_lengths(path), path), token_counts.load_tokenizer(path)
+    rng = random.Random(7)
+    pool = ["the", "don't", "caf\u00e9", "e", "\u0301", "\u2019s", "\u201cquoted\u201d", "\u2014", "\u03a3\u03b1\u03a3", "\u043f\u0440\u0438\u0432\u0435\u0442", "\u6f22\u5b57", "\U0001f600", "12", "'S", "\u0130", "\u212a", "\u3000", "\u2003", "\u0085", "\x1c", "\x0b", "\xa0", "\ufb01", "\uac00", "\u1100\u1161", "x" * 70, "\u20ac" * 70, "<|endoftext|>"]
+    texts = ["".join(rng.choice(pool) + rng.choice(["", " ", "  ", "\n", "\t", "\r\n"]) for _ in range(rng.randint(1, 40))) for _ in range(600)]
+    want = [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [token_counts.count_text(t, lengths, path) for t in texts] == want
+    monkeypatch.setattr(token_counts, "LONG_TEXT", 20)
+    assert [token_counts.count_text(t, lengths, path) for t in texts] == want
+    whole, encode = [], lengths.encoded
+    monkeypatch.setattr(lengths, "encoded", lambda t: whole.append(t) or encode(t))
+    token_counts.count_text("plain words and one \u20acuro", lengths, path)
+    assert all(len(t) < 10 for t in whole)
+
+
 def test_other_tokenizer_goes_to_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert not token_counts.supports_pattern(path)

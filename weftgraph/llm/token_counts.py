@@ -4,8 +4,9 @@ Tier one is a broadcast table of frequent pre-tokens and their lengths in tokens
 its size is bounded by the vocabulary (below 50,000 short strings). Tier two is a bounded cache in each Python worker
 that encoding by the vocabulary's merges fills (the tokenizer library itself encodes
 pre-tokens of more than 64 characters). Texts are split into pre-tokens by a pattern that is
-exact for code points below U+0250; a text with any other character, or with a special string of the tokenizer,
-goes to the library as a whole.
+exact for code points below U+0250. No pre-token spans white space, so in a text with other characters only the runs
+between white space that hold one go to the library, through the same cache; a text with a special string of the
+tokenizer goes to the library as a whole.
 
 Defined results: null counts as empty, and empty texts have no tokens; repeated rows are counted one by one; an empty
 table gives no rows.
@@ -110,15 +111,19 @@ class Lengths(dict):
         super().__init__(first)
         self.first, self.tok, self.ranks = first, load_tokenizer(path), merge_ranks(path)
 
+    def encoded(self, text: str) -> int:
+        return len(self.tok.encode(text, add_special_tokens=False).ids)
+
     def __missing__(self, word: str) -> int:
         if len(word) > CACHE_CHARS:
-            return len(self.tok.encode(word, add_special_tokens=False).ids)
+            return self.encoded(word)
         if len(self) - len(self.first) >= CACHE_WORDS:
             self.clear()
             self.update(self.first)
-        n = self[word] = merged_length(word, self.ranks)
+        n = self[word] = self.encoded(word) if _NOT_PLAIN.search(word) else merged_length(word, self.ranks)
         return n
 
+
 @lru_cache(1)
 def _special(path: str) -> re.Pattern | None:
     texts = [t.content for t in load_tokenizer(path).get_added_tokens_decoder().values()]
@@ -126,18 +131,35 @@ def _special(path: str) -> re.Pattern | None:
 
 
 _NOT_PLAIN = re.compile(f"[^\\x00-{chr(PLAIN_END - 1)}]")
+_RUN = re.compile(r"[^ \t\r\n]+")
 
 
-def count_text(text: str, lengths: Lengths, path: str, plain: bool = True) -> int:
-    special = _special(path)
-    if not plain or (not text.isascii() and _NOT_PLAIN.search(text)) or (special and special.search(text)):
-        return len(lengths.tok.encode(text, add_special_tokens=False).ids)
+def count_plain(text: str, lengths: Lengths) -> int:
     text = text.lower()
     if len(text) > LONG_TEXT:
         return sum(lengths[m[0]] for m in pretoken_pattern().finditer(text))
     return sum(map(lengths.__getitem__, pretoken_pattern().findall(text)))
 
 
+def count_text(text: str, lengths: Lengths, path: str, plain: bool = True) -> int:
+    special = _special(path)
+    if not plain or (special and special.search(text)):
+        return lengths.encoded(text)
+    if text.isascii() or not _NOT_PLAIN.search(text):
+        return count_plain(text, lengths)
+    total, rest, held = 0, [], 0
+    for m in _RUN.finditer(text):
+        run = m[0]
+        if not run.isascii() and _NOT_PLAIN.search(run):
+            total += lengths[run]
+            continue
+        rest.append(run)
+        held += len(run) + 1
+        if held > LONG_TEXT:
+            total, rest, held = total + count_plain(" ".join(rest), lengths), [], 0
+    return total + count_plain(" ".join(rest), lengths)
+
+
 _workers: dict[str, Lengths] = {}
 
 
