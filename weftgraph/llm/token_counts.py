@@ -120,7 +120,7 @@ class Lengths(dict):
         if len(self) - len(self.first) >= CACHE_WORDS:
             self.clear()
             self.update(self.first)
-        n = self[word] = self.encoded(word) if _NOT_PLAIN.search(word) else merged_length(word, self.ranks)
+        n = self[word] = self.encoded(word) if not word.isascii() and _NOT_PLAIN.search(word) else merged_length(word, self.ranks)
         return n
 
 
