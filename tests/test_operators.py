@@ -187,6 +187,13 @@ def test_stream_upsert_and_windows(spark, tmp_path):
         q = incremental.upsert_batches(spark.readStream.schema("id string, v string").parquet(src), f"{tmp_path}/out", f"{tmp_path}/cp")
         q.awaitTermination(60)
     assert {r.id: r.v for r in incremental.newest(spark, f"{tmp_path}/out").collect()} == {"a": "2", "b": "1"}
+    rows = [("a", "9", 1), ("a", "3", 2), ("a", "4", 2), ("b", None, None), ("b", "0", None), (None, "7", 1)]
+    kind = "id string, v string, seq int"
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(f"{tmp_path}/seq")
+    for out, order, want in (("o1", "seq", {"a": "4", "b": "0", None: "7"}), ("o2", None, {"a": "9", "b": "0", None: "7"})):
+        q = incremental.upsert_batches(spark.readStream.schema(kind).parquet(f"{tmp_path}/seq"), f"{tmp_path}/{out}", f"{tmp_path}/cp-{out}", order=order)
+        q.awaitTermination(60)
+        assert {r.id: r.v for r in spark.read.parquet(f"{tmp_path}/{out}").collect()} == want
 
 
 @pytest.mark.parametrize("n,want", [(0, "none"), (5, "low"), (15, "medium"), (16, "high")])

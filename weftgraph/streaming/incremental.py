@@ -29,11 +29,15 @@ def event_windows(events: DataFrame, width: str = "1 day", delay: str = "1 day")
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def upsert_batches(stream: DataFrame, path: str, checkpoint: str, key: str = "id"):
-    """Write each micro-batch as the newest version of its keys; batches are replayed to the same folder, so a retry changes nothing."""
+def upsert_batches(stream: DataFrame, path: str, checkpoint: str, key: str = "id", order: str | None = None):
+    """Write each micro-batch as the newest version of its keys; batches are replayed to the same folder, so a retry changes nothing.
+
+    Of several rows of a key in a batch, the one with the greatest ``order`` is written; ties, and no order, go by all columns."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        row = F.struct(*([order] if order else []), *[c for c in batch.columns if c != order])
+        last = batch.groupBy(key).agg(F.max(row).alias("row")).select("row.*").select(*batch.columns)
+        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
