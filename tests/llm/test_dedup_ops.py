@@ -36,6 +36,33 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(pages, rules.limit(0)).count() == len(urls) + 1
 
 
+def brute_rule(url, rules):
+    host, path = "", ""
+    if url and "://" in url:
+        host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1]).groups()
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = [(-len(h + p), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(min(fits)[1:] if fits else (None, "allow")))
+
+
+def test_url_rules_brute_force_when_prefixes_collide(spark, monkeypatch):
+    rng = random.Random(4)
+    hosts, paths = ["org", "x.org", "a.x.org", "com", "y.com", "org.com"], ["", "/", "/a", "/a/b", "/ab", "/b"]
+    rules = [(h, p, rng.choice(["allow", "block"])) for h in hosts for p in paths if rng.random() < 0.7]
+    # of equal length: x.org + /a and org + /a/b; the smaller text wins
+    rules = [r for r in rules if r[:2] not in {("x.org", "/a"), ("org", "/a/b")}] + [("x.org", "/a", "allow"), ("org", "/a/b", "block")]
+    urls = [f"http://{rng.choice(['', 'w.', 'A.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '/b', 'b', '?q=/a', '#/b'])}" for _ in range(400)]
+    urls += [None, "", "://", "http://", "x.org/a", "http://x.org/a/b", "http://" + "a." * 5000 + "x.org/a" + "/b" * 50000] + [None] * 50
+    pages = spark.createDataFrame([(k, u, "k", "b") for k, u in enumerate(urls)], "page_id long, url string, key string, best string")
+    sides = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for digits in (8, 1, 0):
+        monkeypatch.setattr(url_filter, "PREFIX_HEX", digits)
+        got = url_filter.filter_urls(pages, sides).select("row.page_id", "row.key", "host", "path", "rule", "verdict").collect()
+        assert len(got) == len(urls) and {r.key for r in got} == {"k"}
+        for r in got:
+            assert (r.host, r.path, r.rule, r.verdict) == brute_rule(urls[r.page_id], rules), urls[r.page_id]
+
+
 def test_exact_groups(spark):
     docs = odd_docs(spark)
     out = exact_dedup.exact_groups(docs).select("row.doc_id", "row.chunks", "keep_id", "group_size", "kept").collect()

@@ -3,7 +3,8 @@
 A rule is (host, path, verdict). It fits its host and every subdomain when the URL's path starts with the rule's
 path; the longest rule (host plus path, then the smaller rule text, then block) wins. Every URL is expanded into just
 the (host labels, path length) shapes that the rules have, so the expansion is bounded by the rules' shapes and not by
-the URL's length. Candidates meet on 32 bits of a SHA-256 digest; the full digest decides.
+the URL's length. Candidates meet on 32 bits of a SHA-256 digest alone; the full digest then decides among those that
+met, so digests are compared only for the few pairs whose prefixes agree.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no rule and the default verdict; rules
 with a null or empty host or null path are ignored; repeated rows are judged one by one; an empty table gives no rows.
@@ -72,11 +73,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     )
     keyed = _keyed(exploded, F.col("expression")).drop("expression").alias("k")
     side = bounded_broadcast(ruled.select("short", "digest", "rule", "verdict")).alias("r")
-    fits = keyed.join(side, (F.col("k.short") == F.col("r.short")) & (F.col("k.digest") == F.col("r.digest")))
-    best = fits.groupBy("host", "path").agg(
-        F.max(F.struct(F.length("r.rule").alias("weight"), F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"))).alias("best")
+    met = keyed.join(side, F.col("k.short") == F.col("r.short"))
+    # the confirmation stands inside the aggregate: as a filter it would become a second key of the join
+    claim = F.struct((-F.length("r.rule")).alias("weight"), F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"))
+    best = met.groupBy("host", "path").agg(F.min(F.when(F.col("k.digest") == F.col("r.digest"), claim)).alias("best"))
+    # rows without a host fit no rule; a key for each of their partitions keeps them from meeting in one task
+    spread = F.when(F.col("host") == "", F.concat(F.lit("?"), F.spark_partition_id().cast("string"))).otherwise(F.col("host"))
+    judged = base.withColumn("key", spread).join(
+        best.where("best is not null").withColumnsRenamed({"host": "bh", "path": "bp"}), (F.col("key") == F.col("bh")) & (F.col("path") == F.col("bp")), "left"
     )
-    judged = base.join(best.withColumnsRenamed({"host": "bh", "path": "bp"}), (F.col("host") == F.col("bh")) & (F.col("path") == F.col("bp")), "left")
     return judged.select(
         "row", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict")
     )
