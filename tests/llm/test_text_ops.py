@@ -57,6 +57,18 @@ def test_secrets_brute_force(spark, sf_dir):
     assert secret_scan.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_window_entropy_equals_counting_each_window(spark):
+    rng = random.Random(3)
+    runs = ["".join(rng.choice(secret_scan.ALPHABET + "-_") for _ in range(rng.randint(20, 120))) for _ in range(200)]
+    runs += ["a" * 50, "ab" * 30, "A1" * 10, "-+" * 12, "_/" * 11 + "=", "".join(rng.choice("0123456789abcdef") for _ in range(5000))]
+    for window in (5, 20):
+        got = spark.createDataFrame([(r,) for r in runs], "r string").select("r", secret_scan.window_entropy(F.col("r"), window).alias("e")).collect()
+        for r in got:
+            s = r.r.replace("-", "+").replace("_", "/")
+            windows = {s[i : i + window] for i in range(len(s) - window + 1)}
+            assert abs(r.e - max(-sum(w.count(c) / window * math.log2(w.count(c) / window) for c in set(w)) for w in windows)) < 1e-9, r.r
+
+
 def test_token_counts_equal_library(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     every = ["".join(chr(c) for c in range(1, 0x250)), "".join(f"a{chr(c)}B {chr(c)}" for c in range(1, 0x260))]

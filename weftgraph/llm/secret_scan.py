@@ -57,9 +57,13 @@ def _matches(text: Column, pattern: str, kind: int, sure: Column | None = None)
 
 
 def window_entropy(run: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy of ``window`` characters in a row, by incremental counts."""
+    """The largest Shannon entropy of ``window`` (at most 70) characters in a row, by incremental counts.
+
+    The counts of the alphabet are one string, a character for each count; a step overwrites the count of the character
+    that comes in and that of the one that goes out, and moves the sum of n log2 n by those two.
+    """
     text = F.translate(run, "-_", "+/")
-    zeros = F.array_repeat(F.lit(0), len(ALPHABET))
+    zero = ord("0")
 
     def weight(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
@@ -67,23 +71,32 @@ def window_entropy(run: Column, window: int = WINDOW) -> Column:
     def place(at: Column) -> Column:
         return F.instr(F.lit(ALPHABET), F.substring(text, at, F.lit(1)))
 
+    def count(counts: Column, at: Column) -> Column:
+        return F.ascii(F.substring(counts, at, F.lit(1))) - F.lit(zero)
+
+    def put(counts: Column, at: Column, n: Column) -> Column:
+        return F.overlay(counts, F.char(n + F.lit(zero)), at)
+
     def step(acc: Column, i: Column) -> Column:
-        come, go = place(i), F.when(i > window, place(i - window)).otherwise(F.lit(0))
-        moved = F.struct(come.alias("come"), go.alias("go"))
+        moved = F.struct(place(i).alias("come"), F.when(i > window, place(i - window)).otherwise(F.lit(0)).alias("go"))
+
+        def look(m: Column) -> Column:
+            n_out = F.when(m.go > 0, count(acc.counts, m.go)).otherwise(F.lit(0))
+            return F.struct(m.come.alias("come"), m.go.alias("go"), count(acc.counts, m.come).alias("n_in"), n_out.alias("n_out"))
 
         def update(m: Column) -> Column:
-            n_in = F.element_at(acc.counts, m.come)
-            n_out = F.when(m.go > 0, F.element_at(acc.counts, F.greatest(m.go, F.lit(1)))).otherwise(F.lit(0))
-            gain = F.when(m.come == m.go, F.lit(0.0)).otherwise(
-                weight(n_in + 1) - weight(n_in) + F.when(m.go > 0, weight(n_out - 1) - weight(n_out)).otherwise(F.lit(0.0))
-            )
-            counts = F.transform(acc.counts, lambda c, k: c + F.when(k + 1 == m.come, 1).otherwise(0) - F.when(k + 1 == m.go, 1).otherwise(0))
-            entropy = F.when(i >= window, F.log2(F.lit(float(window))) - (acc.total + gain) / window).otherwise(F.lit(0.0))
-            return F.struct(counts.alias("counts"), (acc.total + gain).alias("total"), F.greatest(acc.best, entropy).alias("best"))
-
-        return F.element_at(F.transform(F.array(moved), update), 1)
-
-    start = F.struct(zeros.alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+            n_in, n_out = m.n_in, m.n_out
+            added = put(acc.counts, m.come, n_in + 1)
+            one_in, one_out = weight(n_in + 1) - weight(n_in), weight(n_out - 1) - weight(n_out)
+            same, first = m.come == m.go, m.go == 0
+            counts = F.when(same, acc.counts).when(first, added).otherwise(put(added, m.go, n_out - 1))
+            total = acc.total + F.when(same, F.lit(0.0)).when(first, one_in).otherwise(one_in + one_out)
+            entropy = F.when(i >= window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
+            return F.struct(counts.alias("counts"), total.alias("total"), F.greatest(acc.best, entropy).alias("best"))
+
+        return F.element_at(F.transform(F.transform(F.array(moved), look), update), 1)
+
+    start = F.struct(F.lit("0" * len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda acc: acc.best)
 
 
