@@ -5,6 +5,7 @@ import numpy as np
 from weftgraph.operators import hierarchy, search, traverse
 from weftgraph.plans import queries
 from weftgraph.sources import code
+from weftgraph.storage import bounded_broadcast
 
 
 def test_more_query_vectors_than_ten_thousand(spark, tmp_path):
@@ -47,3 +48,10 @@ def test_c3_needs_no_whole_hierarchy(spark, monkeypatch):
     got = {r.cls: r.mro for r in hierarchy.linearise(spark.createDataFrame(pairs, "cls string, parent string, pos int")).collect()}
     want = {"A": "A", "B": "BA", "C": "CA", "D": "DBCA", "E": "ECBA", "F": None, "G": None, "x": None, "y": None, "z": None, "s": None}
     assert got == {k: v and list(v) for k, v in want.items()} and not seen
+
+
+def test_broadcast_sides_are_bounded_in_rows_and_bytes(spark):
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    side = spark.createDataFrame([(k, "x" * 1000, None) for k in range(50)], "id long, text string, other string")
+    assert hinted(bounded_broadcast(side)) and hinted(bounded_broadcast(side.limit(0)))
+    assert not hinted(bounded_broadcast(side, rows=49)) and not hinted(bounded_broadcast(side, size=50_000))

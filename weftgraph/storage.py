@@ -14,8 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast side may have; callers broadcast narrow rows, so this is some tens of MB.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (of the rows as JSON) that a broadcast side may have.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 #: Deletes an execution's shuffle files when it has ended.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -80,6 +80,10 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
             _delete(spark, path)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (a shuffle join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes, else as it is (a shuffle join).
+
+    Only the sizes of at most ``rows`` + 1 rows are gathered to judge it."""
+    sizes = df.select(F.octet_length(F.to_json(F.struct(*[df[c] for c in df.columns]))).cast("long").alias("n")).limit(rows + 1)
+    found = sizes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found["rows"] <= rows and found["size"] <= size else df
