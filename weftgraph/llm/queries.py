@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from weftgraph.llm import decontaminate, exact_dedup, pii, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from weftgraph.llm import decontaminate, exact_dedup, pii, queries_mix, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
@@ -149,5 +149,6 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
+    **queries_mix.QUERIES,
 }
-SQL = {"op1_url_filters": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_exact_dedup": OP8_SQL}
+SQL = {"op1_url_filters": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_exact_dedup": OP8_SQL, **queries_mix.SQL}
