@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import mixing
+from weftgraph.llm import divergence, mixing
 
 
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +29,30 @@ r as (select doc_id, size, source_size, target, expected, off, row_number() over
 select doc_id, size, source_size, target, (size * (((k::hugeint * expected + off) % 2147483648 + expected) // 2147483648))::bigint as taken from r
 """
 
-QUERIES = {"op12_source_mixing": op12_source_mixing}
-SQL = {"op12_source_mixing": OP12_SQL}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "text")
+    return divergence.audit_divergence(docs)
+
+
+OP13_SQL = r"""
+with d as materialized (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as materialized (select rid, lang, source, unnest(w) as term from d),
+k as materialized (select lang, term, count(*) as n from t group by lang, term having count(distinct rid) >= 30),
+v as (select lang, count(*) as v, sum(n) as n from k group by lang),
+c as materialized (select lang, source, term, count(*) as n from t join k using (lang, term) group by lang, source, term),
+g as materialized (select a.lang, a.source, coalesce(sum(c.n), 0) as n from (select distinct lang, source from d) a left join c on a.lang = c.lang and a.source = c.source group by a.lang, a.source),
+p as materialized (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.n + 5 * v.v)::hugeint as p,
+                          1 + (1000000000::hugeint * (k.n + 5)) // (v.n + 5 * v.v)::hugeint as q
+                   from g join v on g.lang = v.lang join k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+x as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pair as (select a.lang, a.source, b.source as item, coalesce(x.value, 0)::bigint as value
+         from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+term as (select lang, source, term as item, (p - q)::bigint as value from p where n > 0 and p > q),
+r as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pair
+      union all select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item)::int from term)
+select * from r where part = 'pair' or rank <= 50
+"""
+
+QUERIES = {"op12_source_mixing": op12_source_mixing, "op13_source_divergence": op13_source_divergence}
+SQL = {"op12_source_mixing": OP12_SQL, "op13_source_divergence": OP13_SQL}
