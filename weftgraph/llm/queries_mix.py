@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import divergence, mixing
+from weftgraph.llm import conversation_repair, divergence, mixing
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    repair = conversation_repair.Repair(conversation_repair.damage(rows), rows.select("conv_id"))
+    return repair.summary().withColumnRenamed("conv", "conv_id")
 
 
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +60,5 @@ r as (select lang, source, 'pair' as part, item, value, row_number() over (parti
 select * from r where part = 'pair' or rank <= 50
 """
 
-QUERIES = {"op12_source_mixing": op12_source_mixing, "op13_source_divergence": op13_source_divergence}
+QUERIES = {"op11_conversation_repair": op11_conversation_repair, "op12_source_mixing": op12_source_mixing, "op13_source_divergence": op13_source_divergence}
 SQL = {"op12_source_mixing": OP12_SQL, "op13_source_divergence": OP13_SQL}
