@@ -4,6 +4,7 @@ import math
 import random
 import re
 import string
+import time
 import struct
 
 import public_tokenizers
@@ -37,6 +38,23 @@ def brute_spans(text):
     return sorted(out)
 
 
+def test_secrets_many_matches(spark):
+    """A text with 100,000 matches, and one whose candidates cross chunks: work grows with the matches, not with their square."""
+    rng = random.Random(8)
+    runs = ["".join(rng.choices("0123456789abcdef", k=24)) for _ in range(100_000)]
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=30)) for _ in range(1500)]
+    texts = [" ".join(runs), " é ".join(keys), "token=" + " token=".join(keys)]
+    began = time.time()
+    got = secret_scan.scan_secrets(docs_of(spark, texts)).select("row", "spans").collect()
+    assert time.time() - began < 120
+    for r in got:
+        spans = [tuple(s) for s in r.spans]
+        if r.row.text == texts[0]:
+            assert [s for s in spans if s[1] == 2] == [(25 * i, 2, 25 * i + 24) for i in range(100_000)]
+        else:
+            assert spans == brute_spans(r.row.text)
+
+
 def test_secrets_brute_force(spark, sf_dir):
     rng = random.Random(2)
     pool = ["token=token:abcdef", "Password : 'hunter22'", "api_key=abc", "APIKEY=\"a.b-c=d/e\"", "AKIA" + "A" * 15, "AKIAAKIA" + "Z9" * 8, "0" * 24, "f" * 23, "deadbeef" * 3, "é", "\n", " ", "secret = ", "ſecret=abcdefg", "tokEn:xxxxxxx"]

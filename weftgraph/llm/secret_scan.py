@@ -12,6 +12,8 @@ scanned one by one; whole texts are scanned; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,20 +42,54 @@ ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", *(k for k, _, _ in CLASSES)]
 
 
+#: Items whose running values are gathered in one array before the next array begins.
+CHUNK = 256
+SPAN = "struct<start:int,kind:int,end:int,found:string>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(items: Column, kind: str, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Array of (item, before): ``before`` is the fold of ``step`` over the items that come earlier.
+
+    Growing arrays are copied at each step, so items go in chunks: n items cost n x CHUNK + (n / CHUNK)^2 copies of a reference."""
+    many = f"array<struct<item:{kind},before:int>>"
+
+    def grow(acc: Column, x: Column) -> Column:
+        now = F.struct(x.alias("item"), acc.at.alias("before"))
+        return F.struct(step(acc.at, x).alias("at"), F.concat(acc.out, F.array(now)).alias("out"))
+
+    def chunk(c: Column, first: Column) -> Column:
+        return F.aggregate(c, F.struct(first.alias("at"), F.array().cast(many).alias("out")), grow, lambda acc: acc.out)
+
+    def pass_on(acc: Column, c: Column) -> Column:
+        return F.struct(F.aggregate(c, acc.at, step).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out"))
+
+    def cut(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(CHUNK)), lambda i: F.slice(xs, i, CHUNK))
+
+    def chained(chunks: Column) -> Column:
+        firsts = F.aggregate(chunks, F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")), pass_on, lambda acc: acc.out)
+        return F.flatten(F.zip_with(chunks, firsts, chunk))
+
+    return _let(_let(items, cut), chained)
+
+
 def _matches(text: Column, pattern: str, kind: int, sure: Column | None = None) -> Column:
     """Array of (start, kind, end, found) of all matches; ``sure`` is a cheap test that texts with a match pass."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("found"))
+    placed = _before(pairs, "struct<gap:string,found:string>", F.lit(0), lambda at, p: at + F.length(p.gap) + F.length(p.found))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc.at + F.length(pair.gap)
-        end = start + F.length(pair.found)
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair.found.alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc.out, F.array(span)).alias("out"))
+    def span(x: Column) -> Column:
+        start = x.before + F.length(x.item.gap)
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x.item.found)).alias("end"), x.item.found.alias("found"))
 
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("found"))
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc.out)
-    return spans if sure is None else F.when(sure, spans).otherwise(empty)
+    spans = F.transform(placed, span)
+    return spans if sure is None else F.when(sure, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def window_entropy(run: Column, window: int = WINDOW) -> Column:
@@ -100,16 +136,25 @@ def window_entropy(run: Column, window: int = WINDOW) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda acc: acc.best)
 
 
-def _is_secret(least: float, allowed: str):
-    """Test of a candidate: letters and digits, not allowed, not inside a span found before, and enough entropy."""
+def _secrets(candidates: Column, found: Column, least: float, allowed: str) -> Column:
+    """The candidates with letters and digits that are not allowed, lie in none of the spans ``found``, and have entropy enough.
+
+    A span that holds a candidate begins no later and ends no earlier, so in the order of starts the largest end so far tells."""
+    event = "struct<start:int,mine:int,end:int,kind:int,found:string>"
+
+    def events(spans: Column, mine: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(s.start.alias("start"), F.lit(mine).alias("mine"), s.end.alias("end"), s.kind.alias("kind"), s.found.alias("found")))
 
-    def test(s: Column) -> Column:
+    def test(x: Column) -> Column:
+        s = x.item
         mixed = F.rlike(s.found, F.lit("[0-9]")) & F.rlike(s.found, F.lit("[A-Za-z]"))
-        fresh = ~F.exists("found", lambda b: (b.start <= s.start) & (b.end >= s.end))
         fine = ~F.rlike(s.found, F.lit(allowed)) if allowed else F.lit(True)
-        return F.when(mixed & fresh & fine, window_entropy(s.found) >= least).otherwise(F.lit(False))
+        return F.when((s.mine == 1) & (x.before < s.end) & mixed & fine, window_entropy(s.found) >= least).otherwise(F.lit(False))
 
-    return test
+    in_order = F.sort_array(F.concat(events(found, 0), events(candidates, 1)))
+    reached = _before(in_order, event, F.lit(-1), lambda at, e: F.when(e.mine == 0, F.greatest(at, e.end)).otherwise(at))
+    kept = F.transform(F.filter(reached, test), lambda x: F.struct(x.item.start.alias("start"), x.item.kind.alias("kind"), x.item.end.alias("end"), x.item.found.alias("found")))
+    return F.when(F.size(candidates) > 0, kept).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, allow: list[str] | None = None) -> DataFrame:
@@ -123,9 +168,13 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", carry: list[str] | Non
     hexes = _matches(t, HEX, 2, F.rlike(t, F.lit(HEX)))
     base = base.withColumn("found", F.concat(assign, access, hexes))
     allowed = "|".join(f"(?:{p})" for p in (ALLOW if allow is None else allow))
+
+    def more(least: float) -> Callable[[Column], Column]:
+        return lambda c: F.concat("found", _secrets(c, F.col("found"), least, allowed))
+
     for k, (_, run, least) in enumerate(CLASSES):
         candidates = _matches(t, run, len(KINDS) - len(CLASSES) + k, F.rlike(t, F.lit(run)))
-        base = base.withColumn("found", F.concat("found", F.filter(candidates, _is_secret(least, allowed))))
+        base = base.withColumn("found", _let(candidates, more(least)))
     spans = F.sort_array(F.transform("found", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end"))))
     return base.select("row", spans.alias("spans"))
 
