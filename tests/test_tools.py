@@ -52,13 +52,3 @@ def test_unit_chunks_cover_the_text_along_statements():
     assert shapes.unit_chunks("x", 10) == [{"chunk": 0, "start": 0, "end": 1}] and shapes.unit_chunks("") == [{"chunk": 0, "start": 0, "end": 0}]
     long = shapes.unit_chunks("def f():\n    x = '" + "y" * 3000 + "'\n    return 1", 1000, 100)
     assert len(long) >= 3 and long[-1]["end"] == 3000 + len("def f():\n    x = ''\n    return 1")
-
-
-def test_declaration_and_shapes_of_odd_sources(spark):
-    assert shapes.declaration_only("class A:\n  pass") == "" and shapes.declaration_only("") == ""
-    assert shapes.declaration_only("interface I {\n  a: b;\n}") == "interface I {\na: b;\n}"
-    assert shapes.response_shape("x.json({ a: 1, 'b': 2 }, { status: 500 })") == {"response_keys": [], "error_keys": ["a", "b"]}
-    assert shapes.response_shape("x.json({ a: 'open") == {"response_keys": ["a"], "error_keys": []}
-    df = spark.createDataFrame([(None,), ("",)], "t string")
-    assert [r.k for r in df.select(F.size(F.coalesce(shapes.accessed_keys(F.col("t")), F.array())).alias("k")).collect()] == [0, 0]
-    assert df.select(shapes.middleware(F.col("t")).alias("m")).where("m is not null").count() == 0

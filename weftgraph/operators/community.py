@@ -1,11 +1,14 @@
-"""Communities by deterministic modularity moves, with labels and cohesion."""
+"""Communities by the Leiden method, with labels and cohesion."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import quote
+from weftgraph.operators.components import connected_components
 from weftgraph.storage import drop_table, write_table
 
 #: Folder names that say nothing about a community (fixed values).
@@ -18,35 +21,136 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def communities(edges: DataFrame, rounds: int = 8, resolution: float = 1.0) -> DataFrame:
-    """(node, community) for the nodes of the undirected links of ``edges`` (src, dst).
+#: A round of moves or a pass over all levels that adds less modularity is the last of its kind, and so is a level that adds less than LEVEL_GAIN.
+LEAST_GAIN, LEVEL_GAIN = 1e-4, 1e-6
+
 
-    Local moves towards modularity, all nodes at once: a node joins the neighbouring community of the largest gain (ties:
-    the least name); in even rounds only towards lesser names and in odd rounds only towards greater ones, so that two
-    nodes never swap. A community is named after its least member."""
-    links = write_table(undirected(edges), "links")
-    two_m = float(links.count())
-    degree = write_table(links.groupBy("u").agg(F.count("*").alias("k")), "degree")
-    label = write_table(degree.select(F.col("u").alias("node"), F.col("u").alias("c"), "k"), "label")
-    for r in range(rounds):
+def _local_moves(links: DataFrame, label: DataFrame, two_m: float, inner: float, resolution: float) -> tuple[DataFrame, float]:
+    """Labels (node, c, k) after moves of single nodes, and their modularity. ``inner`` is the weight inside the nodes.
+
+    A drawn share of the nodes that would gain moves at once, each to the neighbouring community of the largest gain
+    (ties: the least name). Where that did not make the modularity grow, because moves were at cross purposes, the labels
+    before count again and half as many nodes are drawn, in the end the one of the largest gain alone; after a success
+    the share doubles. Moves end when no node would gain, or when a round adds less than LEAST_GAIN. A round is one
+    written table: where each node is, where it would go, and what the modularity of the present labels is made of."""
+    best, share, alone, written = float("-inf"), 0.25, False, []
+    for r in count():
         total = label.groupBy("c").agg(F.sum("k").alias("tot"))
-        near = links.join(label.select(F.col("node").alias("v"), "c"), "v").groupBy("u", "c").agg(F.count("*").alias("w"))
-        own = label.select(F.col("node").alias("u"), F.col("c").alias("mine"), "k")
+        near = links.join(label.select(F.col("node").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+        own = label.join(total, "c").select(F.col("node").alias("u"), F.col("c").alias("mine"), "k", F.col("tot").alias("mine_tot"))
         scored = near.join(total, "c").join(own, "u")
-        left = F.col("tot") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0)
-        gain = F.round(F.col("w") - resolution * F.col("k") * left / two_m, 9)
-        way = (F.col("c") <= F.col("mine")) if r % 2 == 0 else (F.col("c") >= F.col("mine"))
-        best = scored.where(way).groupBy("u").agg(F.min(F.struct((-gain).alias("g"), F.col("c").alias("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("mine"), gain)).alias("stay"))
-        moves = best.where((-F.col("b.g")) > F.coalesce("stay", F.lit(0.0))).select(F.col("u").alias("node"), F.col("b.c").alias("to"))
-        nxt = write_table(label.join(moves, "node", "left").select("node", F.coalesce("to", "c").alias("c"), "k", F.col("to").isNotNull().alias("moved")), "label")
-        moved = nxt.where("moved").count()
-        drop_table(label)
-        label = nxt.drop("moved")
-        label._weft_path = nxt._weft_path
-        if not moved and r % 2:
+        same = F.col("c") == F.col("mine")
+        gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(same, F.col("k")).otherwise(0)) / two_m, 9)
+        aim = F.min(F.struct((-gain).alias("g"), F.col("c").alias("c"))).alias("aim")
+        per = scored.groupBy("u").agg(aim, F.max(F.when(same, gain)).alias("stay"), F.sum(F.when(same, F.col("w")).otherwise(0)).alias("inside"))
+        gains = (-F.col("aim.g")) > F.greatest(F.coalesce("stay", F.lit(0.0)), F.lit(0.0))
+        state = own.join(per, "u", "left").select(
+            F.col("u").alias("node"), "mine", "k", "mine_tot", F.coalesce("inside", F.lit(0)).alias("inside"),
+            F.when(gains, F.col("aim.c")).alias("to"), F.when(gains, -F.col("aim.g") - F.greatest(F.coalesce("stay", F.lit(0.0)), F.lit(0.0))).alias("gain"),
+        )
+        state = write_table(state, "moves")
+        written.append(state)
+        first = F.max(F.when(F.col("to").isNotNull(), F.struct("gain", "node"))).alias("first")
+        sums = state.agg(F.sum("inside").alias("inside"), F.sum(F.col("k").cast("double") * F.col("mine_tot")).alias("squares"), F.count("to").alias("gainers"), first).first()
+        now = (sums["inside"] + inner) / two_m - resolution * sums["squares"] / two_m**2
+        grown = now - best
+        if grown > 0:
+            best, best_state, best_sums, share = now, state, sums, min(0.5, share * 2)
+        else:
+            share /= 4
+        if not best_sums["gainers"] or (0 < grown < LEAST_GAIN) or (alone and grown <= 0):
+            break
+        alone = share * best_sums["gainers"] <= 1
+        drawn = F.col("node") == F.lit(best_sums["first"]["node"]) if alone else F.pmod(F.xxhash64("node", F.lit(r)), F.lit(1 << 30)) < int(share * (1 << 30))
+        label = best_state.select("node", F.when(drawn, F.coalesce("to", "mine")).otherwise(F.col("mine")).alias("c"), "k")
+    kept = write_table(best_state.select("node", F.col("mine").alias("c"), "k"), "label")
+    for older in written:
+        drop_table(older)
+    return kept, best
+
+
+def _refined(links: DataFrame, label: DataFrame, two_m: float, resolution: float) -> DataFrame:
+    """(node, part, c, k): connected parts of each community. A node that is alone joins, over a link, the part of its
+    community with the largest gain above 0, if that part stays where it is this round: parts of several nodes always
+    stay, and of the single ones a drawn half. So a part is connected at any time."""
+    cu, cv = label.select(F.col("node").alias("u"), F.col("c").alias("cu")), label.select(F.col("node").alias("v"), F.col("c").alias("cv"))
+    inner = write_table(links.join(cu, "u").join(cv, "v").where("cu = cv").select("u", "v", "w"), "inner")
+    state = write_table(label.select("node", F.col("node").alias("part"), "c", "k"), "parts")
+    for r in count():
+        parts = state.groupBy("part").agg(F.sum("k").alias("tot"), F.count("*").alias("n"))
+        sized = state.join(parts, "part").withColumn("stays", (F.col("n") > 1) | (F.pmod(F.xxhash64("part", F.lit(r)), F.lit(2)) == 0))
+        alone = sized.where("n = 1").select(F.col("node").alias("u"), F.col("k").alias("own"), F.col("stays").alias("u_stays"))
+        others = sized.select(F.col("node").alias("v"), "part", "tot", "stays")
+        near = inner.join(alone, "u").join(others, "v").groupBy("u", "own", "u_stays", "part", "tot", "stays").agg(F.sum("w").alias("w"))
+        gain = F.round(F.col("w") - resolution * F.col("own") * F.col("tot") / two_m, 9)
+        aim = F.min(F.when(~F.col("u_stays") & F.col("stays"), F.struct((-F.col("gain")).alias("g"), F.col("part").alias("to")))).alias("aim")
+        moves = near.withColumn("gain", gain).where("gain > 0").groupBy(F.col("u").alias("node")).agg(aim).withColumn("open", F.lit(True))
+        nxt = write_table(state.join(moves, "node", "left").select("node", F.coalesce("aim.to", "part").alias("part"), "c", "k", "open"), "parts")
+        drop_table(state)
+        path, state = nxt._weft_path, nxt.drop("open")
+        state._weft_path = path
+        if not nxt.agg(F.count("open")).first()[0]:
+            drop_table(inner)
+            return state
+    raise AssertionError
+
+
+def _levels(first: DataFrame, start: DataFrame, two_m: float, resolution: float, best: float) -> tuple[DataFrame | None, float]:
+    """Members (node, c) of a modularity above ``best``, and that: moves, refinement and aggregation from labels (node, c, k)
+    of the whole graph, level by level; no members if the first moves do not get above it."""
+    links, nodes = first, start
+    place = write_table(nodes.select("node", F.col("node").alias("at")), "place")
+    size, inner, members = nodes.count(), 0.0, None
+    while True:
+        label, quality = _local_moves(links, nodes, two_m, inner, resolution)
+        if quality <= best + (LEVEL_GAIN if members is not None else LEAST_GAIN):
+            return members, best
+        best = quality
+        members = write_table(place.join(label.select(F.col("node").alias("at"), "c"), "at").select("node", "c"), "members")
+        parts = _refined(links, label, two_m, resolution)
+        names = parts.select(F.col("node").alias("at"), "part")
+        place = write_table(place.join(names, "at").select("node", F.col("part").alias("at")), "place")
+        pu, pv = names.select(F.col("at").alias("u"), F.col("part").alias("pu")), names.select(F.col("at").alias("v"), F.col("part").alias("pv"))
+        merged = write_table(links.join(pu, "u").join(pv, "v").groupBy(F.col("pu").alias("u"), F.col("pv").alias("v")).agg(F.sum("w").alias("w")), "links")
+        inner += merged.where("u = v").agg(F.sum("w")).first()[0] or 0
+        nodes = write_table(parts.groupBy(F.col("part").alias("node")).agg(F.min("c").alias("c"), F.sum("k").alias("k")), "label")
+        links, before, size = merged.where("u != v"), size, nodes.count()
+        if size == before:
+            return members, best
+
+
+def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(node, community) for the nodes of the undirected links of ``edges`` (src, dst), by the Leiden method.
+
+    On each level single nodes move towards modularity, communities are refined into connected parts, and the parts
+    become the nodes of the next, smaller level, which begins with the communities found so far. The levels are gone
+    through again from the communities of the last time until the modularity no longer grows. A community that its last
+    moves have left in several pieces is split into them. It is named after its least member. All choices are
+    deterministic. No links give no rows."""
+    first = write_table(undirected(edges).withColumn("w", F.lit(1).cast("long")), "links")
+    two_m = float(first.count())
+    if not two_m:
+        return first.select(F.col("u").alias("node"), F.col("u").alias("community"))
+    degree = write_table(first.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")), "degree")
+    members, best = _levels(first, write_table(degree.select("node", F.col("node").alias("c"), "k"), "label"), two_m, resolution, float("-inf"))
+    while True:
+        again, best = _levels(first, write_table(degree.join(members, "node").select("node", "c", "k"), "label"), two_m, resolution, best)
+        if again is None:
             break
-    names = label.groupBy("c").agg(F.min("node").alias("community"))
-    return label.join(names, "c").select("node", "community")
+        members = again
+    mu, mv = members.select(F.col("node").alias("src"), F.col("c").alias("cu")), members.select(F.col("node").alias("dst"), F.col("c").alias("cv"))
+    held = first.select(F.col("u").alias("src"), F.col("v").alias("dst")).join(mu, "src").join(mv, "dst").where("cu = cv and src < dst").select("src", "dst")
+    pieces = connected_components(held).withColumnRenamed("component", "community")
+    return members.join(pieces, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
+
+
+def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of (node, community) over the undirected links of ``edges``."""
+    links = undirected(edges)
+    a, b = members.select(F.col("node").alias("u"), F.col("community").alias("cu")), members.select(F.col("node").alias("v"), F.col("community").alias("cv"))
+    met = write_table(links.join(a, "u").join(b, "v").groupBy("cu").agg(F.count("*").alias("tot"), F.count_if(F.col("cu") == F.col("cv")).alias("inside")), "modularity")
+    row = met.agg(F.sum("tot").alias("all"), F.sum("inside").alias("inside"), F.sum(F.col("tot").cast("double") * F.col("tot")).alias("squares")).first()
+    return row["inside"] / row["all"] - resolution * row["squares"] / row["all"] ** 2 if row["all"] else 0.0
 
 
 def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import routes, text
-from weftgraph.operators import pattern, traverse
+from weftgraph.operators import components, pattern, traverse
 from weftgraph.operators.search import ranked
 
 
@@ -47,9 +47,10 @@ def detect_processes(nodes: DataFrame, edges: DataFrame, members: DataFrame, max
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes on cycles: nodes that reach each other; the least of them names the component."""
-    reach = traverse.closure(edges)
-    both = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    return both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component"))
+    found = components.strongly_connected(edges)
+    several = found.groupBy("component").count().where("count > 1").select("component")
+    loops = edges.where("src = dst").select(F.col("src").alias("component")).distinct()
+    return found.join(several.union(loops).distinct(), "component", "left_semi").select("node", "component")
 
 
 def bubble_up(sinks: DataFrame, calls: DataFrame, values: DataFrame, max_depth: int = 5) -> DataFrame:

@@ -108,28 +108,6 @@ def capped_orders(s, d):
     return context.capped(table(s, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 100).select("o_orderkey", "truncated")
 
 
-@query("accessed_keys", "select event_id, array_to_string(list_sort(list_distinct(list_filter(['id', 'name', event_type, 'total', 'k' || (event_id % 5)], lambda x: x <> 'click'))), ',') as keys from events")
-def accessed_keys(s, d):
-    source = F.concat(F.lit("const { id, name: n } = await res.json();\nlet { total } = data;\nreturn data."), "event_type", F.lit(" + data?.k"), (F.col("event_id") % 5).cast("string"), F.lit(" + res.status + body.map(f);"))
-    return table(s, d, "events").select("event_id", F.array_join(F.sort_array(shapes.accessed_keys(source)), ",").alias("keys"))
-
-
-@query("response_shapes", "select event_id, 'items,' || event_type || ',total' as response_keys, case when event_id % 2 = 0 then 'error,code' else '' end as error_keys from events")
-def response_shapes(s, d):
-    good = F.concat(F.lit("return res.json({ items: xs.map((x) => ({ a: x })), '"), "event_type", F.lit("': `}`, total });\n"))
-    bad = F.when(F.col("event_id") % 2 == 0, "res.status(404).json({ error: 'no {', code: 1 });").otherwise("res.json(all);")
-    r = table(s, d, "events").select("event_id", shapes.response_shapes(F.concat(good, bad)).alias("r"))
-    return r.select("event_id", F.array_join("r.response_keys", ",").alias("response_keys"), F.array_join("r.error_keys", ",").alias("error_keys"))
-
-
-@query("middleware_chains", """select event_id, case event_id % 3 when 0 then 'POST:withAuth,withLog' when 1 then 'default:withCache' end as chain from events""")
-def middleware_chains(s, d):
-    pick = F.col("event_id") % 3
-    source = F.when(pick == 0, "export const POST = withAuth(withLog(async (req) => 1));").when(pick == 1, "export default withCache(handler)").otherwise("export const GET = plain(handler)")
-    m = table(s, d, "events").select("event_id", shapes.middleware(source).alias("m"))
-    return m.select("event_id", F.when(F.col("m").isNotNull(), F.concat_ws(":", "m.method", F.array_join("m.chain", ","))).alias("chain"))
-
-
 @query("middleware_matches", r"""with p as (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path from pages)
  select page_id, path = '/en' or starts_with(path, '/en/') as under, regexp_full_match(path, '/(?:de|fr)/.*') as either, path = '/' as same from p""")
 def middleware_matches(s, d):
@@ -138,12 +116,6 @@ def middleware_matches(s, d):
     return table(s, d, "pages").select("page_id", *[shapes.matches_route(F.lit(v), path).alias(k) for k, v in m.items()])
 
 
-@query("declarations", "select p_partkey, 'export class ' || replace(p_name, ' ', '') || ' {' || chr(10) || 'size = ' || p_size || ';' || chr(10) || '}' as declaration from part")
-def declarations(s, d):
-    source = F.concat(F.lit("// x\nexport class "), F.replace("p_name", F.lit(" "), F.lit("")), F.lit(" {\n  size = "), F.col("p_size").cast("string"), F.lit(";\n  grow(n) {\n    if (n) { n(); }\n  }\n}\nlet after = 1;"))
-    return table(s, d, "part").select("p_partkey", shapes.declarations(source).alias("declaration"))
-
-
 @query("embedding_texts", """select p_partkey, md5('Class: ' || p_name || chr(10) || 'Repo: ' || p_brand || chr(10) || 'Path: ' || p_type || chr(10) || 'Export: true' || chr(10) || chr(10) || 'a' || chr(10) || chr(10) || 'b') as digest from part""")
 def embedding_texts(s, d):
     node = F.struct(F.lit("Class").alias("label"), F.col("p_name").alias("name"), F.col("p_brand").alias("repoId"), F.col("p_type").alias("filePath"), F.lit(True).alias("isExported"), F.lit(None).cast("string").alias("description"))

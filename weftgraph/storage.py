@@ -55,7 +55,8 @@ def write_table(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, wherever Spark keeps it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -64,7 +65,7 @@ def drop_table(df: DataFrame) -> None:
     """Delete what ``write_table`` wrote; the frame and all that reads it end here."""
     path = getattr(df, "_weft_path", None)
     if path is not None:
-        _delete(df.sparkSession, path)
+        delete_path(df.sparkSession, path)
 
 
 def written_tables() -> list[str]:
@@ -77,7 +78,7 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         if path in _tables:
             _tables.remove(path)
-            _delete(spark, path)
+            delete_path(spark, path)
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
