@@ -237,7 +237,7 @@ def _runs(column: pa.Array) -> list[list[np.ndarray]]:
 def shared_lines(texts: DataFrame) -> DataFrame:
     """(rid, n_shared_lines): lines of over LONG_LINE words that stand in another row's text, too, for rows (rid, body) that have any."""
     lines = F.filter(F.split(F.col("body").cast("string"), "\n", -1), lambda x: F.size(F.split(F.trim(x), r"\s+")) > LONG_LINE)
-    each = texts.select("rid", F.explode(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b")))).alias("l")).select("rid", "l.*")
+    each = texts.select("rid", F.explode(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))).alias("l")).select("rid", "l.*")
     seen = each.groupBy("a", "b").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo != hi").select("a", "b")
     return each.join(seen, ["a", "b"], "left_semi").groupBy("rid").agg(F.count("*").alias("n_shared_lines"))
 
