@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from weftgraph.plans import queries_index, queries_more, queries_structure, queries_tools  # noqa: F401
+from weftgraph.plans import queries_index, queries_more, queries_scopes, queries_structure, queries_tools  # noqa: F401
 from weftgraph.plans.queries import QUERIES, SQL
 
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from weftgraph.operators import bindings, community, components
+from weftgraph.operators import bindings, community, components, types
 
 EDGE = "src string, dst string"
 
@@ -112,3 +112,23 @@ def test_communities_are_connected_and_good(spark):
     planted = spark.createDataFrame([(v, str(c)) for v, c in block.items()], "node string, community string")
     assert community.modularity(df, members) >= community.modularity(df, planted) - 0.02
     assert community.communities(spark.createDataFrame([], EDGE)).count() == 0
+
+
+def typed(spark, own, imports, assigns=None, **more):
+    frame = lambda rows, cols: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+    given = None if assigns is None else frame(assigns, ["module", "name", "source_name"])
+    out = types.propagate_types(frame(own, ["module", "name", "type"]), frame(imports, ["module", "name", "source", "source_name"]), given, **more)
+    return {(r.module, r.name): (r.type, r.level) for r in out.collect()}
+
+
+def test_types_over_a_chain_and_a_cycle(spark):
+    own = [("base", "make()", "User"), ("base", "n", "int"), ("c2", "k", "K"), ("mid", "own", "Mine"), (None, "x", "y")]
+    imports = [("mid", "make()", "base", "make()"), ("app", "build()", "mid", "make()"), ("mid", "own", "base", "n"), ("c1", "k1", "c2", "k"), ("c2", "back", "c1", "k1"), ("c1", "n", "base", "n"), ("app", "lost", "none", "x")]
+    assigns = [("app", "user", "build()"), ("app", "same", "user"), ("c2", "again", "back"), ("alone", "a", "b")]
+    got = typed(spark, own, imports, assigns)
+    assert got[("base", "make()")] == ("User", None) and got[("mid", "own")] == ("Mine", None)
+    assert got[("app", "build()")][0] == got[("app", "user")][0] == got[("app", "same")][0] == "User" and got[("app", "user")][1] > got[("mid", "make()")][1]
+    assert got[("c1", "k1")][0] == got[("c2", "back")][0] == got[("c2", "again")][0] == "K" and got[("c1", "n")][0] == "int"
+    assert ("app", "lost") not in got and ("alone", "a") not in got and len(got) == 12
+    assert typed(spark, own, imports, least_gap=1.1) == {k: (v, None) for k, v in (((m, n), t) for m, n, t in own if m)}
+    assert typed(spark, [], imports) == {}

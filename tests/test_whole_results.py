@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from weftgraph.operators import hierarchy, search, traverse
+from weftgraph.operators import compose, contracts, hierarchy, search, traverse
 from weftgraph.plans import queries
 from weftgraph.sources import code
 from weftgraph.storage import bounded_broadcast
@@ -55,3 +55,34 @@ def test_broadcast_sides_are_bounded_in_rows_and_bytes(spark):
     side = spark.createDataFrame([(k, "x" * 1000, None) for k in range(50)], "id long, text string, other string")
     assert hinted(bounded_broadcast(side)) and hinted(bounded_broadcast(side.limit(0)))
     assert not hinted(bounded_broadcast(side, rows=49)) and not hinted(bounded_broadcast(side, size=50_000))
+
+
+def test_paths_stop_at_three_times_branching(spark):
+    nodes = [f"n{i}" for i in range(6)]
+    edges = spark.createDataFrame([(a, b, 0.9, i) for a in nodes for i, b in enumerate(nodes) if a != b], "src string, dst string, confidence double, step int")
+    got = [tuple(r.path) for r in traverse.enumerate_paths(spark.createDataFrame([("n0",)], "id string"), edges, branching=2).collect()]
+
+    def plain(limit):
+        queue, out = [("n0",)], []
+        while queue and len(out) < limit:
+            path = queue.pop(0)
+            more = [b for b in [x for x in nodes if x != path[-1]][:2] if b not in path]
+            if not more or len(path) == 10:
+                out.append(path)
+            queue += [] if len(path) == 10 else [(*path, b) for b in more]
+        return out
+
+    assert sorted(got) == sorted(plain(6))
+
+
+def test_bubble_up_climbs_only_while_open(spark):
+    calls = spark.createDataFrame([(f"c{i:02d}", "s") for i in range(30)] + [("far", "c00"), ("farther", "far")], "src string, dst string")
+    sinks = spark.createDataFrame([("k", "s"), ("k2", "c00")], "sink string, node string")
+    late = spark.createDataFrame([("c25", "hidden", 0.9), ("far", "x", 0.5), ("farther", "y", 0.9)], "node string, value string, confidence double")
+    assert {tuple(r) for r in compose.bubble_up(sinks, calls, late).collect()} == {("k", "x", 0.5, 2), ("k2", "x", 0.5, 1)}
+
+
+def test_tails_fall_back_on_prefixes(spark):
+    t = spark.createDataFrame([(1, "/FOService1"), (2, "/api/long-enough"), (3, "/none-of-them")], "transport_id int, path string")
+    r = spark.createDataFrame([(10, "/foservice1/sendMessage"), (11, "/x/api/long-enough"), (12, "/api/long-enough/more"), (13, "/other")], "route_id int, route string")
+    assert {tuple(x) for x in contracts.match_tails(t, r).collect()} == {(1, 10, "foservice1"), (2, 11, "api/long-enough")}

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import routes, text
 from weftgraph.operators import components, pattern, traverse
 from weftgraph.operators.search import ranked
+from weftgraph.storage import drop_table, write_table
 
 
 def entry_points(nodes: DataFrame, edges: DataFrame, limit: int = 200) -> DataFrame:
@@ -53,18 +54,25 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return found.join(several.union(loops).distinct(), "component", "left_semi").select("node", "component")
 
 
-def bubble_up(sinks: DataFrame, calls: DataFrame, values: DataFrame, max_depth: int = 5) -> DataFrame:
+def bubble_up(sinks: DataFrame, calls: DataFrame, values: DataFrame, max_depth: int = 5, max_callers: int = 20) -> DataFrame:
     """(sink, value, confidence, depth): the best value that a sink's node or one of its callers holds; nearer callers first,
-    then higher confidence, then the lesser value. ``sinks`` is (sink, node), ``values`` (node, value, confidence)."""
-    level = sinks.select("sink", "node", F.lit(0).alias("depth"))
-    every = [level]
-    up = calls.select(F.col("dst").alias("node"), F.col("src").alias("caller")).distinct()
-    for depth in range(1, max_depth + 1):
-        level = level.join(up, "node").select("sink", F.col("caller").alias("node"), F.lit(depth).alias("depth")).distinct()
-        every.append(level)
-    found = reduce(DataFrame.unionByName, every).join(values, "node")
-    best = found.groupBy("sink").agg(F.min(F.struct("depth", (-F.col("confidence")).alias("c"), "value")).alias("b"))
-    return best.select("sink", "b.value", (-F.col("b.c")).alias("confidence"), "b.depth")
+    then higher confidence, then the lesser value. ``sinks`` is (sink, node), ``values`` (node, value, confidence).
+
+    The first ``max_callers`` callers of a node, by name, are followed. Each level is a written table of the sinks that no
+    nearer level has settled, so a sink stops climbing where a value is found."""
+    first = F.row_number().over(Window.partitionBy("dst").orderBy("src"))
+    up = calls.select("src", "dst").distinct().withColumn("k", first).where(F.col("k") <= max_callers).select(F.col("dst").alias("node"), F.col("src").alias("caller"))
+    up, values = write_table(up, "callers"), write_table(values.select("node", "value", "confidence"), "values")
+    level, found = write_table(sinks.select("sink", "node").distinct(), "bubble"), []
+    for depth in range(max_depth + 1):
+        here = level.join(values, "node").groupBy("sink").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "value")).alias("b"))
+        found.append(write_table(here.select("sink", "b.value", (-F.col("b.c")).alias("confidence"), F.lit(depth).alias("depth")), "bubbled"))
+        open_ = level.join(found[-1].select("sink"), "sink", "left_anti")
+        older, level = level, write_table(open_.join(up, "node").select("sink", F.col("caller").alias("node")).distinct(), "bubble")
+        drop_table(older)
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
 
 
 def apply_rule(nodes: DataFrame, edges: DataFrame, rule: str | dict) -> DataFrame:

@@ -69,12 +69,19 @@ def match_routes(fetches: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def match_tails(transports: DataFrame, table: DataFrame) -> DataFrame:
-    """(transport_id, route_id, tail): routes that share the longest tail with a transport's path."""
+    """(transport_id, route_id, tail): routes that share the longest tail with a transport's path; a transport that shares
+    none gets the routes that begin with its longest possible tail (a service whose route names an operation below it)."""
     t = transports.select("transport_id", F.explode(routes.tails(F.col("path"))).alias("tail"))
     r = table.select("route_id", F.explode(routes.tails(F.col("route"))).alias("tail"))
-    both = t.join(r, "tail")
-    best = both.groupBy("transport_id").agg(F.max(F.length("tail")).alias("n"))
-    return both.join(best, "transport_id").where(F.length("tail") == F.col("n")).select("transport_id", "route_id", "tail").distinct()
+
+    def longest(both: DataFrame) -> DataFrame:
+        best = both.groupBy("transport_id").agg(F.max(F.length("tail")).alias("n"))
+        return both.join(best, "transport_id").where(F.length("tail") == F.col("n")).select("transport_id", "route_id", "tail").distinct()
+
+    shared = longest(t.join(r, "tail"))
+    starts = table.select("route_id", F.explode(routes.path_prefixes(F.lower("route"))).alias("tail"))
+    below = t.join(shared.select("transport_id").distinct(), "transport_id", "left_anti").join(starts, "tail")
+    return shared.unionByName(longest(below))
 
 
 def match_topics(transports: DataFrame, listeners: DataFrame) -> DataFrame:

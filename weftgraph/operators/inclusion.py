@@ -42,7 +42,7 @@ def expand_copies(programs: DataFrame, copybooks: DataFrame, max_depth: int = MA
     """(program, place, text, source, line, depth, note) of ``programs`` (program, line, text) and ``copybooks`` (name, line, text).
 
     ``place`` orders a program's lines; ``source`` and ``line`` say where a line comes from. A statement that cannot be
-    followed stays as a line of its own with a note: 'missing' (no such copybook), 'circular' (the copybook is being
+    followed stays, unchanged, as a line of its own with a note: 'missing' (no such copybook), 'circular' (the copybook is being
     included already) or 'too deep'. An inner statement's replacements come first, then those around it. Names meet
     regardless of case; of copybooks of one name the lines are all taken. Null names, lines and texts make no line."""
     books = copybooks.select(F.upper("name").alias("book"), F.col("line").cast("int").alias("at"), F.col("text").alias("own")).dropna()
@@ -60,7 +60,7 @@ def expand_copies(programs: DataFrame, copybooks: DataFrame, max_depth: int = MA
         note = F.when(F.col("known").isNull() & F.col("name").isNotNull(), "missing").when(circular, "circular").when(F.col("name").isNotNull() & F.lit(depth >= max_depth), "too deep")
         marked = write_table(marked.withColumn("note", note), "copy-level")
         stays = F.col("name").isNull() | F.col("note").isNotNull()
-        done.append(marked.where(stays).select("program", "place", replaced(F.col("text"), F.col("pairs")).alias("text"), "source", "line", "depth", "note"))
+        done.append(marked.where(stays).select("program", "place", F.when(F.col("note").isNull(), replaced(F.col("text"), F.col("pairs"))).otherwise(F.col("text")).alias("text"), "source", "line", "depth", "note"))
         open_ = marked.where(~stays)
         if depth == max_depth or open_.isEmpty():
             break

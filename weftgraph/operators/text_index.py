@@ -1,11 +1,12 @@
 """A stored full-text index with block maxima: BM25 top-k that reads the query's postings alone.
 
-Documents get dense numbers and fall into windows of WINDOW numbers; a block holds the postings of one term in one
-window, with its largest term frequency and its shortest document. Layout below one folder:
+Documents get numbers as they are read and fall into windows of WINDOW numbers, each within one task; a block holds the
+postings of one term in one window, with its largest term frequency and its shortest document. So blocks are whole when
+a task hands them on, and only whole blocks are shuffled to their buckets. Layout below one folder:
 
-* ``blocks`` - (bucket of the term) / term, window, docs, tfs, lens, max_tf, min_len: sorted by term, partitioned by bucket
+* ``blocks`` - (bucket of the term) / term, win, offs (places in the window), tfs, lens, max_tf, min_len: sorted by term, partitioned by bucket
 * ``terms`` - (bucket) / term, df: a row for each term and change, so document frequencies are sums of few rows
-* ``docs`` - number, id, len, and the document's distinct terms, for updates
+* ``docs`` - number, id, len
 * ``removed`` - numbers of documents that are gone
 * ``totals`` - documents and words, a row for each change
 
@@ -19,24 +20,70 @@ lower-casing; ties go by id.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators.search import B, K1, terms
-from weftgraph.storage import bounded_broadcast, delete_path, write_table
+from weftgraph.operators.search import B, K1
+from weftgraph.storage import bounded_broadcast, delete_path, drop_table, write_table
 
-#: Documents of a window, and buckets of terms.
-WINDOW, BUCKETS = 1024, 64
+#: Documents of a window, buckets of terms, and postings after which a task closes its window early.
+WINDOW, BUCKETS, HELD = 1024, 64, 1_000_000
 #: Windows whose documents set the first k-th score.
 SEEDS = 4
 #: What rounding to six digits may add to a score.
 SLACK = 1e-6
+#: Numbers of one change begin at a multiple of this, those of one task at a multiple of TASK.
+CHANGE, TASK = 1 << 50, 1 << 33
 
-BLOCKS = "bucket int, term string, win long, docs array<long>, tfs array<int>, lens array<int>, max_tf int, min_len int"
+BLOCKS = "bucket int, term string, win long, offs array<short>, tfs array<int>, lens array<int>, max_tf int, min_len int"
 TERMS = "bucket int, term string, df long"
-DOCS = "number long, id long, len int, terms array<string>"
+DOCS = "number long, id long, len int"
+#: What a task hands on: a row of ``docs`` (term null) or of ``blocks``.
+STAGED = "number long, id long, len int, term string, win long, offs array<short>, tfs array<int>, lens array<int>, max_tf int, min_len int"
+#: Bytes of words stay, all others separate words.
+WORD_BYTES = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
+
+
+def _stage(first: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Numbers the rows (id, lower-cased text) of a task and gathers their postings window by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, docs, lists, held = first + TaskContext.get().partitionId() * TASK, [], {}, 0
+
+        def out() -> pa.RecordBatch:
+            n, win = len(docs), docs[0][0] // window
+            blank = [None] * n
+            columns = [
+                ([d[0] for d in docs] + [None] * len(lists), pa.int64()), ([d[1] for d in docs] + [None] * len(lists), pa.int64()), ([d[2] for d in docs] + [None] * len(lists), pa.int32()),
+                (blank + [t.decode() for t in lists], pa.string()), (blank + [win] * len(lists), pa.int64()),
+                (blank + [p[0] for p in lists.values()], pa.list_(pa.int16())), (blank + [p[1] for p in lists.values()], pa.list_(pa.int32())), (blank + [p[2] for p in lists.values()], pa.list_(pa.int32())),
+                (blank + [max(p[1]) for p in lists.values()], pa.int32()), (blank + [min(p[2]) for p in lists.values()], pa.int32()),
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns], names=["number", "id", "len", "term", "win", "offs", "tfs", "lens", "max_tf", "min_len"])
+
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                if docs and (held >= HELD or number // window != docs[0][0] // window):
+                    yield out()
+                    number, docs, lists, held = -(-number // window) * window, [], {}, 0
+                words = text.translate(WORD_BYTES).split()
+                docs.append((number, doc, len(words)))
+                for term, tf in Counter(words).items():
+                    posting = lists.setdefault(term, ([], [], []))
+                    posting[0].append(number % window)
+                    posting[1].append(tf)
+                    posting[2].append(len(words))
+                    held += 1
+                number += 1
+        if docs:
+            yield out()
+
+    return run
 
 
 def bucket_of(term: Column) -> Column:
@@ -62,34 +109,27 @@ class TextIndex:
         index = cls(docs.sparkSession, path)
         for part, schema in (("removed", "number long"), ("totals", "docs long, words long")):
             index.spark.createDataFrame([], schema).write.mode("errorifexists").parquet(f"{index.path}/{part}")
-        index.add(docs, id_col, text_col, 0)
+        index.add(docs, id_col, text_col)
         return index
 
-    def add(self, docs: DataFrame, id_col: str = "id", text_col: str = "text", first: int | None = None) -> None:
+    def add(self, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> None:
         """Store documents whose ids the index does not have. They fill new windows, so no stored block changes."""
-        read = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), terms(F.coalesce(docs[text_col], F.lit(""))).alias("ts"))
-        if first is None:
-            last = self._read("docs", DOCS).agg(F.max("number")).first()[0]
-            first = 0 if last is None else (last // WINDOW + 1) * WINDOW
-        # word counts combine before the shuffle; a text without words is carried by a null term
-        counted = read.select("id", F.explode_outer("ts").alias("term")).groupBy("id", "term").agg(F.count("term").cast("int").alias("tf"))
-        counted = write_table(counted, "fts-counts")
-        own = counted.groupBy("id").agg(F.sum("tf").cast("int").alias("len"), F.array_sort(F.collect_list("term")).alias("terms"))
-        # numbers are dense within a partition; each partition begins at a window of its own
-        dealt = write_table(own.repartitionByRange(F.xxhash64("id"), "id").withColumn("part", F.spark_partition_id()), "fts-docs")
-        sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum(F.ceil(F.col("n") / WINDOW) * WINDOW).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = sizes.select("part", (before + first).cast("long").alias("start"))  # one row for each partition
-        at = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
-        numbered = write_table(dealt.withColumn("at", at).join(F.broadcast(starts), "part").select((F.col("start") + F.col("at")).alias("number"), "id", "len", "terms"), "fts-numbered")
-        placed = counted.where("term is not null").join(numbered.select("id", "number", "len"), "id")
-        posting = F.struct("number", "tf", "len")
-        blocks = placed.groupBy("term", F.floor(F.col("number") / WINDOW).alias("win")).agg(F.array_sort(F.collect_list(posting)).alias("p"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
-        blocks = blocks.select(bucket_of(F.col("term")).alias("bucket"), "term", "win", F.col("p.number").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"), "max_tf", "min_len")
-        blocks.repartitionByRange("bucket", "term", "win").sortWithinPartitions("bucket", "term", "win").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/blocks")
-        self._change_terms(placed.groupBy("term").agg(F.count("*").alias("df")))
+        read = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), F.lower(F.coalesce(docs[text_col], F.lit(""))).alias("text"))
+        twice = write_table(read.groupBy("id").count().where("count > 1").select("id"), "fts-twice")
+        if not twice.isEmpty():
+            several = bounded_broadcast(twice)
+            merged = read.join(several, "id", "left_semi").groupBy("id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+            read = read.join(several, "id", "left_anti").unionByName(merged)
+        first = self._read("totals", "docs long, words long").count() * CHANGE
+        staged = write_table(read.mapInArrow(_stage(first, WINDOW), STAGED), "fts-staged", compression="zstd")
+        blocks = staged.where("term is not null")
+        placed = blocks.select(bucket_of(F.col("term")).alias("bucket"), "term", "win", "offs", "tfs", "lens", "max_tf", "min_len")
+        placed.repartitionByRange("bucket", "term", "win").sortWithinPartitions("bucket", "term", "win").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/blocks", compression="zstd")
+        self._change_terms(blocks.groupBy("term").agg(F.sum(F.size("offs")).alias("df")))
+        numbered = staged.where("term is null").select("number", "id", "len")
         numbered.write.mode("append").parquet(f"{self.path}/docs")
         numbered.agg(F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("words")).write.mode("append").parquet(f"{self.path}/totals")
+        drop_table(staged)
 
     def _change_terms(self, change: DataFrame) -> None:
         rows = change.select(bucket_of(F.col("term")).alias("bucket"), "term", "df")
@@ -99,7 +139,9 @@ class TextIndex:
         """Take documents out: their numbers are listed, and frequencies and totals change. Stored blocks stay as they are."""
         gone = self._read("docs", DOCS).join(ids.select(ids[id_col].cast("long").alias("id")).distinct(), "id", "left_semi").join(self._read("removed", "number long"), "number", "left_anti")
         gone = write_table(gone, "fts-gone")
-        self._change_terms(gone.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df")))
+        windows = bounded_broadcast(gone.select(F.floor(F.col("number") / WINDOW).alias("win")).distinct())
+        held = self._read("blocks", BLOCKS).select("term", "win", "offs").join(windows, "win", "left_semi").select("term", "win", F.explode("offs").alias("off")).select("term", (F.col("win") * WINDOW + F.col("off")).alias("number"))
+        self._change_terms(held.join(gone.select("number"), "number", "left_semi").groupBy("term").agg((-F.count("*")).alias("df")))
         gone.agg((-F.count("*")).alias("docs"), (-F.coalesce(F.sum("len"), F.lit(0))).alias("words")).write.mode("append").parquet(f"{self.path}/totals")
         gone.select("number").write.mode("append").parquet(f"{self.path}/removed")
 
@@ -142,8 +184,9 @@ class TextIndex:
         removed = self._read("removed", "number long")
 
         def scored(windows: DataFrame) -> DataFrame:
-            mine = blocks.select("term", "win", "docs", "tfs", "lens").join(bounded_broadcast(windows.select("win")), "win", "left_semi").join(idf, "term")
-            flat = mine.select("idf", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("p")).select("idf", F.col("p.docs").alias("number"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("len"))
+            mine = blocks.select("term", "win", "offs", "tfs", "lens").join(bounded_broadcast(windows.select("win")), "win", "left_semi").join(idf, "term")
+            flat = mine.select("idf", "win", F.explode(F.arrays_zip("offs", "tfs", "lens")).alias("p"))
+            flat = flat.select("idf", (F.col("win") * WINDOW + F.col("p.offs")).alias("number"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("len"))
             each = flat.groupBy("number").agg(F.sum(part(F.col("tf"), F.col("len"))).alias("score"))
             return each.join(removed, "number", "left_anti")
 

@@ -55,22 +55,31 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> tuple[D
 
 def enumerate_paths(entries: DataFrame, edges: DataFrame, max_nodes: int = 10, branching: int = 4, min_confidence: float = 0.5) -> DataFrame:
     """(entry, path) of maximal simple paths from ``entries`` (column id): at most ``branching`` callees of a node, in order
-    of step, then id; a path ends where no callee is new or it has ``max_nodes`` nodes."""
+    of step, then id; a path ends where no callee is new or it has ``max_nodes`` nodes.
+
+    Paths are looked at in the order of a queue - shorter ones first, then by the places of their nodes among the callees -
+    and an entry stops at 3 x ``branching`` ended paths. As ended paths of a round come before all longer ones, an entry
+    that has enough of them is dropped before the next round."""
+    most = 3 * branching
     good = edges.where((F.col("confidence") >= min_confidence) & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.min("step").alias("step"))
     w = Window.partitionBy("src").orderBy(F.col("step").asc_nulls_last(), "dst")
-    hops = write_table(good.withColumn("k", F.row_number().over(w)).where(F.col("k") <= branching).select("src", "dst"), "callees")
-    live = write_table(entries.select(F.col("id").alias("entry"), F.array("id").alias("path")), "paths")
+    hops = write_table(good.withColumn("k", F.row_number().over(w)).where(F.col("k") <= branching).select("src", "dst", "k"), "callees")
+    live = write_table(entries.select(F.col("id").alias("entry"), F.array("id").alias("path"), F.array().cast("array<int>").alias("places")).distinct(), "paths")
     done = []
     for _ in range(max_nodes - 1):
         tip = live.withColumn("src", F.element_at("path", -1))
         grown = tip.join(hops, "src").where(~F.array_contains("path", F.col("dst")))
-        grown = write_table(grown.select("entry", F.array_append("path", F.col("dst")).alias("path")), "paths")
+        grown = write_table(grown.select("entry", F.array_append("path", F.col("dst")).alias("path"), F.array_append("places", F.col("k")).alias("places")), "paths")
         ended = live.join(grown.select(F.expr("slice(path, 1, size(path) - 1)").alias("path"), "entry").distinct(), ["entry", "path"], "left_anti")
-        done.append(ended.select("entry", "path"))
-        live = grown
+        done.append(write_table(ended.select("entry", "path", "places"), "ended"))
+        full = reduce(DataFrame.unionByName, done).groupBy("entry").count().where(F.col("count") >= most).select("entry")
+        live = write_table(grown.join(full, "entry", "left_anti"), "paths")
+        drop_table(grown)
         if live.isEmpty():
             break
-    return reduce(DataFrame.unionByName, [*done, live.select("entry", "path")])
+    every = reduce(DataFrame.unionByName, [*done, live])
+    queue = Window.partitionBy("entry").orderBy(F.size("path"), "places", "path")
+    return every.withColumn("at", F.row_number().over(queue)).where(F.col("at") <= most).select("entry", "path")
 
 
 def drop_subpaths(paths: DataFrame) -> DataFrame:

@@ -196,10 +196,12 @@ class VectorIndex:
 
         return queries.mapInArrow(run, "query_id long, vector array<double>, bound double, list int")
 
-    def _candidates(self, pairs: DataFrame, sizes: DataFrame, keep: int | None) -> DataFrame:
-        """(query_id, list, id, near): of each list the ``keep`` rows whose codes lie nearest, or all rows that may lie within the query's bound.
+    def _candidates(self, pairs: DataFrame, sizes: DataFrame, keep: int, proven: bool = False) -> DataFrame:
+        """(query_id, list, id, near): of each list the ``keep`` rows whose codes lie nearest.
 
-        Lists go in pieces of about LIST_ROWS rows and queries in blocks of about QUERY_ROWS, so no task holds a whole large list."""
+        If ``proven``, ``near`` is the exact cosine distance: rows whose codes put them beyond the query's bound are left
+        out unseen, and of the others the ``keep`` nearest within the bound are given. Lists go in pieces of about
+        LIST_ROWS rows and queries in blocks of about QUERY_ROWS, so no task holds a whole large list."""
         model, asked = self.model, pairs.groupBy("list").agg(F.count("*").alias("asked"))
         share = sizes.join(asked, "list").select("list", F.ceil(F.col("n") / LIST_ROWS).cast("int").alias("pieces"), F.ceil(F.col("asked") / QUERY_ROWS).cast("int").alias("blocks"))
         share = write_table(share, "index-share")
@@ -207,7 +209,8 @@ class VectorIndex:
         share = F.broadcast(share)  # a row for each list
         piece, block = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        stored = self.rows().where(F.col("list").isin(lists)).select("list", "id", "code", "lost").join(share, "list").withColumn("piece", piece).withColumn("block", every("blocks"))
+        read = ["id", "code", "lost", "vector"] if proven else ["id", "code"]
+        stored = self.rows().where(F.col("list").isin(lists)).select("list", *read).join(share, "list").withColumn("piece", piece).withColumn("block", every("blocks"))
         wanted = pairs.join(share, "list").withColumn("block", block).withColumn("piece", every("pieces"))
         keys = ["list", "piece", "block"]
 
@@ -215,21 +218,26 @@ class VectorIndex:
             shape = pa.schema([("query_id", pa.int64()), ("list", pa.int32()), ("id", pa.int64()), ("near", pa.float64())])
             if not q.num_rows or not rows.num_rows:
                 return shape.empty_table()
-            at = int(key[0].as_py())
+            at, asked = int(key[0].as_py()), _matrix(q["vector"].combine_chunks())
             codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-            near = model.value.compare(_matrix(q["vector"].combine_chunks()), at, codes)
-            ids = rows["id"].to_numpy()
-            if keep is None:
-                a, b = np.nonzero(near - rows["lost"].to_numpy() <= q["bound"].to_numpy()[:, None] + SLACK)
-            elif keep >= len(ids):
-                a, b = (x.ravel() for x in np.indices(near.shape))
-            else:
-                b = np.argpartition(near, keep - 1, axis=1)[:, :keep]
+            near, ids, bound = model.value.compare(asked, at, codes), rows["id"].to_numpy(), q["bound"].to_numpy()[:, None]
+            if proven:
+                seen = np.flatnonzero((near - rows["lost"].to_numpy() <= bound + SLACK).any(axis=0))
+                if not len(seen):
+                    return shape.empty_table()
+                near, ids = np.round(1.0 - asked @ _matrix(rows["vector"].combine_chunks().take(pa.array(seen))).T, 9), ids[seen]
+            if keep < len(ids):
+                b = np.lexsort((np.broadcast_to(ids, near.shape), near), axis=1)[:, :keep]
                 a, b = np.repeat(np.arange(len(b)), b.shape[1]), b.ravel()
+            else:
+                a, b = (x.ravel() for x in np.indices(near.shape))
+            if proven:  # a cosine distance is half a squared distance of unit vectors
+                inside = 2 * near[a, b] <= (bound[a, 0] + SLACK) ** 2
+                a, b = a[inside], b[inside]
             return pa.table([q["query_id"].take(pa.array(a)), pa.array(np.full(len(a), at, np.int32)), pa.array(ids[b]), pa.array(near[a, b])], schema=shape)
 
         left = wanted.select(*keys, "query_id", "vector", "bound").groupBy(*keys)
-        return left.cogroup(stored.select(*keys, "id", "code", "lost").groupBy(*keys)).applyInArrow(run, "query_id long, list int, id long, near double")
+        return left.cogroup(stored.select(*keys, *read).groupBy(*keys)).applyInArrow(run, "query_id long, list int, id long, near double")
 
     def _exact(self, found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         """The k nearest of (query_id, list, id) by exact distance."""
@@ -267,7 +275,8 @@ class VectorIndex:
         bounded = write_table(q.join(worst, F.col("query_id") == F.col("of"), "left").select("query_id", "vector", bound.alias("bound")), "index-bounds")
         radius = {r["list"]: r["far"] for r in sizes.collect()}  # at most MOST_LISTS rows
         pairs = write_table(self._pairs(bounded, None, radius), "index-pairs")
-        return self._exact(self._candidates(pairs, sizes, keep=None).select("query_id", "list", "id"), q, k)
+        within = self._candidates(pairs, sizes, keep=k, proven=True)
+        return within.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "id", F.col("near").alias("distance"), "rank")
 
 
 def scratch_index_path(spark: SparkSession, label: str) -> str:

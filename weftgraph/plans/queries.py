@@ -347,7 +347,7 @@ def shortest_depth(s, d):
 def process_paths(s, d):
     e = next_events(s, d).groupBy("event_type", "next_type").agg(F.count("*").alias("n"))
     edges = e.select(F.col("event_type").alias("src"), F.col("next_type").alias("dst"), F.lit(0.9).alias("confidence"), (-F.col("n")).cast("int").alias("step"))
-    paths = traverse.enumerate_paths(e.select(F.col("event_type").alias("id")).distinct(), edges, max_nodes=5)
+    paths = traverse.enumerate_paths(e.select(F.col("event_type").alias("id")).distinct(), edges)
     return traverse.drop_subpaths(paths).select("entry", "terminal", F.array_join("path", ">").alias("path"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators import bindings, components
+from weftgraph.operators import bindings, components, types
 from weftgraph.plans.queries import query
 from weftgraph.sources.graph_view import table
 
@@ -63,3 +63,12 @@ def export_bindings(s, d):
     above = nation.groupBy(region.alias("module")).agg(F.concat(F.lit("n"), F.min("n_nationkey").cast("string")).alias("source"))
     named = best.union(above.select("module", F.lit("best").alias("name"), "source", F.lit("best").alias("source_name")))
     return bindings.resolve_exports(own, named, wild)
+
+
+@query("propagated_types", f"""with recursive {_IMPORTS}, own as (select c_custkey as module, c_mktsegment as type from customer where c_acctbal > 5000),
+ p(module, type) as (select module, type from own union select e.src, p.type from p join e on e.dst = p.module where e.src not in (select module from own))
+ select module, min(type) as type, module in (select module from own) as own from p group by module""")
+def propagated_types(s, d):
+    c = table(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("module"), F.lit("v").alias("name"), F.col("c_mktsegment").alias("type"))
+    i = _imports(s, d).select(F.col("src").alias("module"), F.lit("v").alias("name"), F.col("dst").alias("source"), F.lit("v").alias("source_name"))
+    return types.propagate_types(c, i).select("module", "type", F.col("level").isNull().alias("own"))

@@ -13,7 +13,7 @@ from weftgraph.operators.pattern import first_of
 #: Folders and endings that a walk skips (fixed values).
 IGNORED_FOLDERS = [".git", "node_modules", "dist", "build", "target", "vendor", "__pycache__", ".venv", "coverage"]
 MAX_FILE_BYTES = 512 * 1024
-CHUNK_BYTES = "20m"
+CHUNK_BYTES = 20 << 20
 
 
 def walk(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES, with_content: bool = True) -> DataFrame:
