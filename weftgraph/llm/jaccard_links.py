@@ -8,6 +8,10 @@ by how many texts hold a shingle, rarest first, and meet on their prefixes under
 (each of 256 bits tells whether an odd number of a set's shingles falls on it, so two sets differ in as many shingles at
 least as their bits do); the similarity is verified on whole sets. In large groups a few pivots link most members first; then all pairs of different
 components that pass the bounds are compared. Nothing is sampled or capped.
+
+Defined results: texts arrive as shingle sets, so null and empty texts share the set of the empty text and are similar to
+each other and to nothing else; repeated rows and texts with equal sets are one set and are linked once, by that set's
+representative; sets of equal rarity or similarity are taken in the order of their hashes; an empty table gives no links.
 """
 
 from __future__ import annotations

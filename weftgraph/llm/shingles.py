@@ -1,4 +1,9 @@
-"""Hashes of word shingles, and what near-dedup keeps of them."""
+"""Hashes of word shingles, and what near-dedup keeps of them.
+
+Defined results: a null text is an empty one; a text without words has no hashes, fingerprint 0 and the set of the empty
+text; one with fewer words than a shingle is one shingle; repeated shingles count each time in a fingerprint and once in
+a set; very long texts are unpacked block by block; rows are hashed one by one, so repeated rows and empty tables need no care.
+"""
 
 from __future__ import annotations
 
