@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet to the shared
 folder and reads it back for the next stage. All stages but the last return the columns of ``documents``; the last
 returns doc_id and the encoded text. Null ids, null texts, repeated rows and extra columns pass through each stage as
-its operator defines.
+its operator defines. Ties: of equal texts the longest row stays, then the least id, then any one of fully equal rows; of
+similar texts the row of the least id, then any one of those with that id.
 """
 
 from __future__ import annotations
