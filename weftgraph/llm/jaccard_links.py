@@ -11,7 +11,7 @@ components that pass the bounds are compared. Nothing is sampled or capped.
 
 Defined results: texts arrive as shingle sets, so null and empty texts share the set of the empty text and are similar to
 each other and to nothing else; repeated rows and texts with equal sets are one set and are linked once, by that set's
-representative; sets of equal rarity or similarity are taken in the order of their hashes; an empty table gives no links.
+representative; shingles of equal rarity are taken in the order of their hashes; an empty table gives no links.
 """
 
 from __future__ import annotations
