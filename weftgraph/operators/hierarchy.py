@@ -89,15 +89,24 @@ def inherited(seeds: DataFrame, extends: DataFrame, methods: DataFrame, method:
     return first.where("r.n = 1").select("r.depth", "r.owner")
 
 
-def innermost(points: DataFrame, scopes: DataFrame, width: int = 64) -> DataFrame:
+def innermost(points: DataFrame, scopes: DataFrame) -> DataFrame:
     """(point_id, scope_id): the narrowest scope of the same file that holds each line; ties go to the later start, then id.
 
-    Scopes are cut into bins of ``width`` lines and meet the points on (file, bin), so that a long file is not one key."""
-    bins = F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width)))
-    binned = scopes.where("start_line <= end_line").withColumn("bin", bins)
-    both = points.withColumn("bin", F.floor(F.col("line") / width)).join(binned, ["file", "bin"]).where("line between start_line and end_line")
-    order = F.struct((F.col("end_line") - F.col("start_line")).alias("w"), (-F.col("start_line")).alias("s"), "scope_id")
-    return both.groupBy("point_id").agg(F.min(order)["scope_id"].alias("scope_id"))
+    A scope is cut into dyadic blocks (level, block), at most two of a level, and of each block's scopes only the best is
+    kept; a line looks up the one block of each level that it lies in. So rows grow with scopes and lines times the
+    logarithm of the widest scope, never with the pairs of scopes and points."""
+    a, b = F.col("start_line"), F.col("end_line")
+    s = scopes.select("file", a.cast("long").alias("start_line"), b.cast("long").alias("end_line"), "scope_id").where("start_line <= end_line")
+    s = s.withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin(b - a + 1)) - 1)))
+    lo, hi = F.expr("-shiftright(-start_line, level)"), F.expr("shiftright(end_line + 1, level)")  # whole blocks from lo to before hi
+    ends = F.array(F.when(lo % 2 != 0, lo), F.when(hi % 2 != 0, hi - 1))
+    cut = s.where(lo < hi).withColumn("block", F.explode(ends)).where("block is not null")
+    order = F.struct((b - a).alias("w"), (-a).alias("s"), "scope_id")
+    blocks = write_table(cut.groupBy("file", "level", "block").agg(F.min(order).alias("best")), "scope-blocks")
+    lines = points.select("file", F.col("line").cast("long").alias("line")).distinct()
+    asked = lines.crossJoin(F.broadcast(blocks.select("level").distinct())).withColumn("block", F.expr("shiftright(line, level)"))  # at most 64 levels
+    around = asked.join(blocks, ["file", "level", "block"]).groupBy("file", "line").agg(F.min("best").alias("best"))
+    return points.join(around, ["file", "line"]).groupBy("point_id").agg(F.min("best")["scope_id"].alias("scope_id"))
 
 
 def sections(headings: DataFrame) -> DataFrame:
