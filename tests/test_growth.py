@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import hierarchy
+from weftgraph.operators import hierarchy, pattern
 
 
 def most_rows(df):
@@ -44,3 +44,14 @@ def test_innermost_makes_no_pairs_of_scopes_and_points(spark):
     p = spark.range(n).select(F.col("id").alias("point_id"), F.lit("f").alias("file"), (F.col("id") % 20 + 10).alias("line"))
     rows, most = most_rows(hierarchy.innermost(p, s))
     assert len(rows) == n and {x.scope_id for x in rows} == {6} and most <= 20 * n
+
+
+def test_tier_counts_make_no_pairs(spark):
+    n = 600
+    c = spark.range(n).select(F.col("id").alias("request_id"), F.lit(1).alias("region"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("cn"))
+    u = spark.range(n).select(F.col("id").alias("s"), F.lit(1).alias("region"), (F.col("id") % 2).alias("sn"))
+    tiers = ["region"], [F.col("cn") == F.col("sn"), F.lit(True)], [0.95, 0.9]
+    single = pattern.resolve_tiers(c, u, *tiers).groupBy("request_id", "tier", "confidence").agg(F.count("*").alias("n"), F.min("s").alias("first"))
+    want = {(x.request_id, x.tier, x.n, x.first, x.confidence) for x in single.collect()}
+    rows, most = most_rows(pattern.tier_counts(c, u, *tiers, "s"))
+    assert {tuple(x) for x in rows} == want and most <= n

@@ -80,6 +80,21 @@ def resolve_tiers(requests: DataFrame, candidates: DataFrame, on: list[str], tie
     return ranked.join(best, "request_id").where("tier = best").drop("best").withColumn("confidence", confidence)
 
 
+def tier_counts(requests: DataFrame, candidates: DataFrame, on: list[str], tiers: list[Column], confidences: list[float], name: str) -> DataFrame:
+    """(request_id, tier, n, first, confidence): how many candidates ``resolve_tiers`` gives each request, and the least of them by ``name``.
+
+    Requests that agree in all other columns have the same candidates, and so do candidates for a tier: only these classes
+    meet, never single requests and candidates. Of repeated request ids the best tier over all their rows counts."""
+    asks, kinds = [c for c in requests.columns if c != "request_id"], [c for c in candidates.columns if c != name]
+    classes = requests.select(*asks).distinct().withColumn("request_id", F.struct(*asks))
+    groups = candidates.groupBy(*kinds).agg(F.count("*").alias("n"), F.min(name).alias("first"))
+    hit = resolve_tiers(classes, groups, on, tiers, confidences).groupBy("request_id", "tier", "confidence").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    own = requests.select(F.col("request_id").alias("request"), F.struct(*asks).alias("asked")).join(hit, F.col("asked").eqNullSafe(F.col("request_id")))
+    by_tier = own.groupBy("request", "tier").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("confidence").alias("confidence"))
+    best = by_tier.groupBy(F.col("request").alias("request_id")).agg(F.min(F.struct("tier", "n", "first", "confidence")).alias("r"))
+    return best.select("request_id", "r.*")
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key: a minimum over structs, which combines before the shuffle, in place of a window."""
     rest = [c for c in df.columns if c not in keys]
