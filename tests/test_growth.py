@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import hierarchy, pattern
+from weftgraph.operators import hierarchy, lookup, pattern
 
 
 def most_rows(df):
@@ -55,3 +55,29 @@ def test_tier_counts_make_no_pairs(spark):
     want = {(x.request_id, x.tier, x.n, x.first, x.confidence) for x in single.collect()}
     rows, most = most_rows(pattern.tier_counts(c, u, *tiers, "s"))
     assert {tuple(x) for x in rows} == want and most <= n
+
+
+def test_references_list_candidates_once_for_a_question(spark):
+    n = 300
+    name = lambda k: F.concat(F.lit(k), (F.col("id") % 5).cast("string"))
+    sites = spark.range(3 * n).select(F.col("id").alias("site"), name("s").alias("scope"), F.lit("k").alias("name"), F.when(F.col("id") % 3 == 0, "me").alias("receiver"), F.when(F.col("id") % 4 > 0, F.col("id") % 2).cast("int").alias("arity"))
+    sites = sites.withColumn("name", F.when(F.col("site") % 3 == 1, "far").otherwise(F.col("name")))
+    tree = spark.createDataFrame([(f"s{i}", "top") for i in range(5)] + [("top", None)], "scope string, parent string")
+    d = spark.range(n).select(F.concat(F.lit("d"), "id").alias("def"), F.col("id"))
+    bound = d.select(F.lit("top").alias("scope"), F.lit("k").alias("name"), "def", F.lit("local").alias("origin"))
+    types = spark.createDataFrame([("top", "me", "T")], "scope string, name string, owner string")
+    members = d.select(F.lit("T").alias("owner"), F.lit("k").alias("name"), "def")
+    order = spark.createDataFrame([("T", "T", 0)], "owner string, ancestor string, depth int")
+    defs = d.select("def", F.lit("a.far").alias("qualified"), (F.col("id") % 3).cast("int").alias("min_arity"), (F.col("id") % 3).cast("int").alias("max_arity"), F.lit(None).cast("string").alias("returns"))
+    frames = [sites, tree, bound, types, members, order, defs]
+    whole = lookup.resolve_references(*frames).collect()
+    assert len(whole) > 100 * n
+    rows, most = most_rows(lookup.best_references(*frames))
+    assert {tuple(r) for r in rows} == {(r.site, r["def"], r.stage, r.confidence) for r in whole if r.rank == 1} and len(rows) == 3 * n
+    assert most <= 10 * n
+    sums = {}
+    for r in whole:
+        sums.setdefault(r.stage, []).append((r.site, r.confidence))
+    rows, most = most_rows(lookup.reference_summary(*frames))
+    assert {(r.stage, r.sites, r.candidates, round(r["mean"], 6)) for r in rows} == {(k, len({s for s, _ in v}), len(v), round(sum(c for _, c in v) / len(v), 6)) for k, v in sums.items()}
+    assert len(rows) == 3 and most <= 10 * n

@@ -108,13 +108,12 @@ def _references(s, d):
 
 @query("resolved_references", f"with {_REFERENCES} select site, def, stage, confidence from rk where rank = 1")
 def resolved_references(s, d):
-    return lookup.resolve_references(*_references(s, d)).where("rank = 1").select("site", "def", "stage", "confidence")
+    return lookup.best_references(*_references(s, d))
 
 
 @query("reference_stages", f"with {_REFERENCES} select stage, count(distinct site) as sites, count(*) as candidates, round(avg(confidence), 4) as mean from sc group by stage")
 def reference_stages(s, d):
-    g = lookup.resolve_references(*_references(s, d)).groupBy("stage")
-    return g.agg(F.countDistinct("site").alias("sites"), F.count("*").alias("candidates"), F.round(F.avg("confidence"), 4).alias("mean"))
+    return lookup.reference_summary(*_references(s, d)).withColumn("mean", F.round("mean", 4))
 
 
 @query("lateral_chunks", "select doc_id, i::int as chunk, (i * 1080)::int as start, least(i * 1080 + 1200, n)::int as stop from (select doc_id, length(text) as n from documents where text is not null) d, unnest(range(0, 1 + greatest(0, ceil((n - 1200) / 1080.0))::bigint)) u(i)")
