@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import hierarchy, lookup, pattern
+from weftgraph.operators import components, hierarchy, lookup, pattern, traverse, types
 
 
 def most_rows(df):
@@ -81,3 +81,23 @@ def test_references_list_candidates_once_for_a_question(spark):
     rows, most = most_rows(lookup.reference_summary(*frames))
     assert {(r.stage, r.sites, r.candidates, round(r["mean"], 6)) for r in rows} == {(k, len({s for s, _ in v}), len(v), round(sum(c for _, c in v) / len(v), 6)) for k, v in sums.items()}
     assert len(rows) == 3 and most <= 10 * n
+
+
+def test_rounds_send_no_join_side_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def written(module, write):
+        def spy(df, *rest):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return write(df, *rest)
+
+        monkeypatch.setattr(module, "write_table", spy)
+
+    for module in (components, traverse, types):
+        written(module, module.write_table)
+    e = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d")]
+    own = spark.createDataFrame([("d", "v", "T")], "module string, name string, type string")
+    imports = spark.createDataFrame([(a, "v", b, "v") for a, b in e], "module string, name string, source string, source_name string")
+    got = types.propagate_types(own, imports)
+    assert {(r["module"], r["type"], r["level"]) for r in got.collect()} == {("d", "T", None), ("c", "T", 1), ("b", "T", 2), ("a", "T", 2)}
+    assert len(plans) > 20 and not [x for x in plans if "Broadcast" in x]

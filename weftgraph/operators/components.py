@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.storage import drop_table, write_table
+from weftgraph.storage import dealt, drop_table, write_table
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
     """Each (u, v) with m, the least of u and its neighbours. Minima combine map-side, so a hub is no hot task."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return pairs.join(least, pairs.u == least.k).select("u", "v", "m")
+    return pairs.join(dealt(least), pairs.u == least.k).select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -60,21 +60,21 @@ def _spread(start: DataFrame, edges: DataFrame, label: str) -> DataFrame:
     known = write_table(start.select("node", "c"), label)
     fresh = known
     while True:
-        sent = edges.join(fresh.select(F.col("node").alias("u"), "c"), "u").groupBy(F.col("v").alias("node")).agg(F.min("c").alias("sent"))
-        better = write_table(known.join(sent, "node").where("sent < c").select("node", F.col("sent").alias("c")), f"{label}-fresh")
+        sent = edges.join(dealt(fresh.select(F.col("node").alias("u"), "c")), "u").groupBy(F.col("v").alias("node")).agg(F.min("c").alias("sent"))
+        better = write_table(known.join(dealt(sent), "node").where("sent < c").select("node", F.col("sent").alias("c")), f"{label}-fresh")
         if fresh is not known:
             drop_table(fresh)
         if better.isEmpty():
             drop_table(better)
             return known
-        newer = write_table(known.join(better.select("node", F.col("c").alias("now")), "node", "left").select("node", F.coalesce("now", "c").alias("c")), label)
+        newer = write_table(known.join(dealt(better.select("node", F.col("c").alias("now"))), "node", "left").select("node", F.coalesce("now", "c").alias("c")), label)
         drop_table(known)
         known, fresh = newer, better
 
 
 def _ends(edges: DataFrame) -> DataFrame:
     """Nodes that have an edge out and an edge in."""
-    return edges.select(F.col("u").alias("node")).distinct().join(edges.select(F.col("v").alias("node")).distinct(), "node", "left_semi")
+    return edges.select(F.col("u").alias("node")).distinct().join(dealt(edges.select(F.col("v").alias("node")).distinct()), "node", "left_semi")
 
 
 def strongly_connected(edges: DataFrame, src: str = "src", dst: str = "dst", trims: int = 3) -> DataFrame:
@@ -94,7 +94,7 @@ def strongly_connected(edges: DataFrame, src: str = "src", dst: str = "dst", tri
     while size:
         for _ in range(trims):
             both = _ends(left)
-            kept = write_table(left.join(both.select(F.col("node").alias("u")), "u", "left_semi").join(both.select(F.col("node").alias("v")), "v", "left_semi").select("u", "v"), "scc-edges")
+            kept = write_table(left.join(dealt(both.select(F.col("node").alias("u"))), "u", "left_semi").join(dealt(both.select(F.col("node").alias("v"))), "v", "left_semi").select("u", "v"), "scc-edges")
             before, size = size, kept.count()
             drop_table(left)
             left = kept
@@ -105,27 +105,27 @@ def strongly_connected(edges: DataFrame, src: str = "src", dst: str = "dst", tri
         own = left.select(F.col("u").alias("node")).union(left.select("v")).distinct()
         colour = _spread(own.withColumn("c", F.col("node")), left, "scc-colour")
         cu, cv = colour.select(F.col("node").alias("u"), F.col("c").alias("cu")), colour.select(F.col("node").alias("v"), F.col("c").alias("cv"))
-        inside = write_table(left.join(cu, "u").join(cv, "v").where("cu = cv").select("u", "v"), "scc-inside")
+        inside = write_table(left.join(dealt(cu), "u").join(dealt(cv), "v").where("cu = cv").select("u", "v"), "scc-inside")
         # backwards from the roots: a mark can only travel inside its colour, as the edges do
         marks = F.when(F.col("node") == F.col("c"), F.lit(0)).otherwise(F.lit(1))
         reached = _spread(colour.select("node", marks.alias("c")), inside.select(F.col("v").alias("u"), F.col("u").alias("v")), "scc-back").where("c = 0").select("node")
-        round_ = write_table(colour.join(reached, "node").select("node", F.col("c").alias("component")), "scc-found")
+        round_ = write_table(colour.join(dealt(reached), "node").select("node", F.col("c").alias("component")), "scc-found")
         found.append(round_)
         done = round_.select("node")
-        rest = write_table(inside.join(done.select(F.col("node").alias("u")), "u", "left_anti").join(done.select(F.col("node").alias("v")), "v", "left_anti").select("u", "v"), "scc-edges")
+        rest = write_table(inside.join(dealt(done.select(F.col("node").alias("u"))), "u", "left_anti").join(dealt(done.select(F.col("node").alias("v"))), "v", "left_anti").select("u", "v"), "scc-edges")
         for older in (left, colour, inside):
             drop_table(older)
         left, size = rest, rest.count()
     if not found:
         return nodes.select("node", F.col("node").alias("component"))
     cyclic = reduce(DataFrame.unionByName, found)
-    return nodes.join(cyclic, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(dealt(cyclic), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def condensation(edges: DataFrame, components: DataFrame) -> DataFrame:
     """Distinct (src, dst) between components, by the edges (src, dst) of their members: a graph without cycles."""
     a, b = components.select(F.col("node").alias("src"), F.col("component").alias("cs")), components.select(F.col("node").alias("dst"), F.col("component").alias("cd"))
-    return edges.select("src", "dst").join(a, "src").join(b, "dst").where("cs != cd").select(F.col("cs").alias("src"), F.col("cd").alias("dst")).distinct()
+    return edges.select("src", "dst").join(dealt(a), "src").join(dealt(b), "dst").where("cs != cd").select(F.col("cs").alias("src"), F.col("cd").alias("dst")).distinct()
 
 
 def finalisation_order(edges: DataFrame) -> DataFrame:
@@ -135,4 +135,4 @@ def finalisation_order(edges: DataFrame) -> DataFrame:
     components = write_table(strongly_connected(edges), "order-components")
     dag = write_table(condensation(edges, components), "order-dag")
     levels = topological_levels(components.select(F.col("component").alias("id")).distinct(), dag)
-    return components.join(levels.select(F.col("node").alias("component"), "level"), "component").select("node", "component", "level")
+    return components.join(dealt(levels.select(F.col("node").alias("component"), "level")), "component").select("node", "component", "level")

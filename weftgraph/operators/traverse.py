@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.storage import bounded_broadcast, drop_table, write_table
+from weftgraph.storage import bounded_broadcast, dealt, drop_table, write_table
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, direction: str = "out", types: list[str] | None = None, min_confidence: float = 0.0, skip: DataFrame | None = None) -> DataFrame:
@@ -101,13 +101,13 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rest = write_table(nodes.select(F.col("id").alias("node")).distinct(), "rest")
     out = []
     for level in count():
-        free = write_table(rest.join(left.select(F.col("src").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)), "free")
+        free = write_table(rest.join(dealt(left.select(F.col("src").alias("node"))), "node", "left_anti").withColumn("level", F.lit(level)), "free")
         if free.isEmpty():
             break
         out.append(free)
         older, oldest = left, rest
-        left = write_table(left.join(free.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "deps")
-        rest = write_table(rest.join(free.select("node"), "node", "left_anti"), "rest")
+        left = write_table(left.join(dealt(free.select(F.col("node").alias("dst"))), "dst", "left_anti").select("src", "dst"), "deps")
+        rest = write_table(rest.join(dealt(free.select("node")), "node", "left_anti"), "rest")
         drop_table(older)
         drop_table(oldest)
     return reduce(DataFrame.unionByName, [*out, rest.withColumn("level", F.lit(-1))])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.components import finalisation_order
-from weftgraph.storage import drop_table, write_table
+from weftgraph.storage import dealt, drop_table, write_table
 
 #: The share of imported names without a type below which nothing is propagated (a fixed value).
 LEAST_GAP = 0.03
@@ -21,7 +21,7 @@ KEY = ["module", "name"]
 
 def import_gap(own: DataFrame, imports: DataFrame) -> float:
     """The share of imported names (module, name) that have no type of their own."""
-    named = imports.select(*KEY).distinct().join(own.select(*KEY).distinct().withColumn("typed", F.lit(1)), KEY, "left")
+    named = imports.select(*KEY).distinct().join(dealt(own.select(*KEY).distinct().withColumn("typed", F.lit(1))), KEY, "left")
     row = named.agg(F.count("*").alias("n"), F.count("typed").alias("typed")).first()
     return 1 - row["typed"] / row["n"] if row["n"] else 0.0
 
@@ -39,17 +39,17 @@ def propagate_types(own: DataFrame, imports: DataFrame, assigns: DataFrame | Non
         return own
     inside = imports.select(*KEY, F.col("module").alias("source"), "source_name").limit(0) if assigns is None else assigns.select(*KEY, F.col("module").alias("source"), "source_name").dropna().distinct()
     order = finalisation_order(imports.select(F.col("module").alias("src"), F.col("source").alias("dst"))).select(F.col("node").alias("module"), "level")
-    steps = imports.unionByName(inside).join(own.select(*KEY), KEY, "left_anti").join(order, "module", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    steps = imports.unionByName(inside).join(dealt(own.select(*KEY)), KEY, "left_anti").join(dealt(order), "module", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     steps = write_table(steps, "types-steps")
     last = steps.agg(F.max("level")).first()[0]
     final = [own]
     for level in range((last if last is not None else -1) + 1):
         mine = steps.where(F.col("level") == level)
-        below = write_table(mine.join(_named(reduce(DataFrame.unionByName, final)), ["source", "source_name"]).groupBy(*KEY).agg(F.min("type").alias("type")), "types-level")
+        below = write_table(mine.join(dealt(_named(reduce(DataFrame.unionByName, final))), ["source", "source_name"]).groupBy(*KEY).agg(F.min("type").alias("type")), "types-level")
         now = below
         while True:  # one round more than the longest way inside the level's modules
-            sent = mine.join(_named(now), ["source", "source_name"]).groupBy(*KEY).agg(F.min("type").alias("sent"))
-            both = now.join(sent, KEY, "full").select(*KEY, F.least("type", "sent").alias("new"), "type")
+            sent = mine.join(dealt(_named(now)), ["source", "source_name"]).groupBy(*KEY).agg(F.min("type").alias("sent"))
+            both = now.join(dealt(sent), KEY, "full").select(*KEY, F.least("type", "sent").alias("new"), "type")
             nxt = write_table(both, "types-level")
             changed = nxt.where("type is null or new < type").limit(1).count()
             drop_table(now)
