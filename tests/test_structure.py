@@ -114,6 +114,23 @@ def test_communities_are_connected_and_good(spark):
     assert community.communities(spark.createDataFrame([], EDGE)).count() == 0
 
 
+def test_a_round_of_moves_is_one_job_without_shuffled_links(spark, monkeypatch):
+    """Links are met by a link to itself and numbers, so a round writes one table, joins twice and gathers its sums on the way."""
+    edges = [(f"s{i % 7}", f"p{i * i % 31}") for i in range(200)]
+    seen, plain = [], community.write_table
+
+    def noted(df, label, *more):
+        if label == "moves":
+            seen.append((df.dtypes, df._jdf.queryExecution().optimizedPlan().toString()))
+        return plain(df, label, *more)
+
+    monkeypatch.setattr(community, "write_table", noted)
+    members = community.communities(spark.createDataFrame(edges, EDGE)).collect()
+    assert seen and all(dict(types)["node"] == "bigint" and plan.count("Join ") <= 2 and "CollectMetrics" in plan for types, plan in seen)
+    assert {r.node for r in members} == {v for e in edges for v in e} and all(r.community <= r.node for r in members)
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionSize") != community.LEAST_PART
+
+
 def typed(spark, own, imports, assigns=None, **more):
     frame = lambda rows, cols: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
     given = None if assigns is None else frame(assigns, ["module", "name", "source_name"])
