@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.plans.schema import edge_id, node_id
+from weftgraph.storage import in_parts
 
 
 class PropertyGraph(NamedTuple):
@@ -63,7 +64,7 @@ def graph_edges(spark: SparkSession, sf_dir: str, types: list[str] | None = None
     """(id, src, dst, type, confidence, step) of the types asked for; one edge for each (type, src, dst)."""
 
     def contains() -> DataFrame:
-        g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_discount").alias("d"), F.min("l_linenumber").alias("s"))
+        g = in_parts(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey", "l_partkey").agg(F.max("l_discount").alias("d"), F.min("l_linenumber").alias("s"))
         return _edges(g, "CONTAINS", node_id("Order", F.col("l_orderkey")), node_id("Part", F.col("l_partkey")), F.round(1 - F.col("d"), 4), F.col("s"))
 
     def supplies() -> DataFrame:
