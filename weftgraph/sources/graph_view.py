@@ -68,7 +68,7 @@ def graph_edges(spark: SparkSession, sf_dir: str, types: list[str] | None = None
         return _edges(g, "CONTAINS", node_id("Order", F.col("l_orderkey")), node_id("Part", F.col("l_partkey")), F.round(1 - F.col("d"), 4), F.col("s"))
 
     def supplies() -> DataFrame:
-        g = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+        g = in_parts(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey").select("l_suppkey", "l_partkey").distinct()
         return _edges(g, "SUPPLIES", node_id("Supplier", F.col("l_suppkey")), node_id("Part", F.col("l_partkey")), F.lit(0.9))
 
     def in_nation() -> DataFrame:
