@@ -55,6 +55,48 @@ def test_repeated_spans_brute_force(spark, monkeypatch):
         assert len(got) == len(texts) and suffix_dedup.repeated_spans(docs.limit(0)).count() == 0
 
 
+def brute_words(texts, passage):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = {}
+    for k, w in enumerate(words):
+        for i in range(len(w) - passage + 1):
+            seen.setdefault(tuple(w[i : i + passage]), set()).add(k)
+    out = []
+    for w in words:
+        hit = [False] * len(w)
+        for i in range(len(w) - passage + 1):
+            if len(seen[tuple(w[i : i + passage])]) > 1:
+                hit[i : i + passage] = [True] * passage
+        out.append(sum(hit))
+    return out
+
+
+def test_passages_shared_by_documents(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [rng.choice("abcdefgé") * rng.randint(1, 3) + rng.choice(["", "x", "yy"]) for _ in range(n)]
+    line, other, common = fresh(51), fresh(70), fresh(6)
+    assert len(" ".join(line).encode()) < 400
+    docs = [fresh(20) + line + fresh(33) for _ in range(4)] + [fresh(70) + line[:50] + fresh(5), line[1:], line]  # inside a line, and one word short
+    docs += [other + fresh(9) + other, fresh(60) + other[3:60], other + ["q"] + other, other, other]  # twice in one document, and in several
+    alone = fresh(80)
+    docs += [alone + fresh(7) + alone, common * 30, common[2:] + common * 11, ["z"] * 200, ["z"] * 51, ["z"] * 50, fresh(50), []]
+    edited = fresh(400)
+    for _ in range(6):
+        k = rng.randrange(400)
+        docs.append(edited[:k] + fresh(rng.randint(0, 2)) + edited[k + rng.randint(0, 3) :])
+    texts = [None] + [(" " if k % 2 else " \n").join(d) for k, d in enumerate(docs)]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("row.doc_id").collect()
+    want = brute_words(texts, 51)
+    assert [r.n_shared_words for r in got] == want
+    assert want[1:8] == [51] * 4 + [0, 0, 51] and [(len(r.spans) > 0) for r in got[1:5]] == [False] * 4
+
+
+def test_query_passages_brute_force(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.n_shared_words for r in queries.op6_suffix_dedup(spark, sf_dir).collect()}
+    assert [got[r.doc_id] for r in rows] == brute_words([r.text for r in rows], 51)
+
+
 def test_segments_cover_every_window_once():
     rng = random.Random(9)
     for n in (399, 400, 401, 3000):

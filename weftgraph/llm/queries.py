@@ -69,7 +69,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup.repeated_spans(docs, length=400, carry=["doc_id"])
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    return out.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_shared_lines")
+    return out.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_shared_words")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

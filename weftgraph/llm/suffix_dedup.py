@@ -15,8 +15,12 @@ and extents are brought together by hash partitioning:
 
 So long copies move as segments, and single windows are listed only where copies begin and end. Matching is by two
 independent 64-bit hashes (core and extent, or core and window; two bases and two letter tables); bytes themselves are
-not compared. Matches never cross documents. Besides, lines of over ``LONG_LINE`` words that stand in another document,
-too, are counted, for passages that are shorter than ``length`` bytes.
+not compared. Matches never cross documents.
+
+Besides, words are counted that stand in a passage of ``PASSAGE`` words which another document has, too, wherever it begins
+and whatever its length in bytes. Windows of so many words are parsed likewise: neighbours with the same least gram of
+``WORD_GRAM`` words form a segment, that gram is its core. Equal windows have equal cores, so cores of one document rule
+theirs out, and extents that two documents have settle theirs; the windows of the others are listed.
 
 Defined results: null counts as empty; texts below ``length`` bytes are kept whole; repeated rows remove each other's
 bytes; texts without triggers are compared window by window; an empty table gives no rows.
@@ -30,6 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +44,8 @@ from weftgraph.storage import drop_table, write_table
 GRAM, ONE_IN = 16, 64
 #: Windows of a block.
 FINE = 16
-#: Words that a line counted as shared has more than.
-LONG_LINE = 50
+#: Words of a passage, and of the grams of which its least is the core.
+PASSAGE, WORD_GRAM = 51, 12
 #: Texts are parsed in blocks of so many window starts.
 BLOCK = 1 << 20
 #: Odd multipliers of the two hashes.
@@ -69,11 +74,12 @@ def _power(which: int, inverse: bool, n: int) -> np.ndarray:
 
 
 class _Hashes:
-    """Hashes of any substring of a block, from prefix sums; ``which`` tells which of the two."""
+    """Hashes of any substring of a block (bytes, or hashes of words), from prefix sums; ``which`` tells which of the two."""
 
     def __init__(self, data: np.ndarray, which: int):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_LETTERS[which][data] * _power(which, False, len(data)), out=self.sums[1:])
+        letters = _LETTERS[which][data] if data.dtype == np.uint8 else data
+        np.cumsum(letters * _power(which, False, len(data)), out=self.sums[1:])
         self.down = _power(which, True, len(data) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
@@ -159,6 +165,52 @@ def window_hashes(text: bytes, lo: np.ndarray, n: np.ndarray, length: int) -> tu
     return tuple(np.concatenate(p) for p in zip(*parts)) if parts else (none, none, none)
 
 
+_GAPS = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word, in order; white space only parts them."""
+    data = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(_GAPS[data], prepend=True, append=True))
+    at, end, parts, step = edges[::2], edges[1::2], [np.zeros(0, np.uint64)], max(1, BLOCK // 8)
+    for k in range(0, len(at), step):
+        a, b = at[k : k + step], end[k : k + step]
+        parts.append(_Hashes(data[a[0] : b[-1]], 0).of(a - a[0], b - a[0], 10))
+    return np.concatenate(parts)
+
+
+def _least(x: np.ndarray, reach: int) -> np.ndarray:
+    """The least of each ``reach`` neighbours."""
+    wide = 1
+    while 2 * wide <= reach:
+        x, wide = np.minimum(x[:-wide], x[wide:]), 2 * wide
+    return np.minimum(x[: len(x) - (reach - wide)], x[reach - wide :])
+
+
+def passages(text: bytes) -> tuple[np.ndarray, ...]:
+    """Segments (lo, n, core, whole) of the windows of PASSAGE words, counted in words: neighbours with the same least gram."""
+    words = word_hashes(text)
+    total = len(words) - PASSAGE + 1
+    if total <= 0:
+        return (*(np.zeros(0, np.int32) for _ in range(2)), *(np.zeros(0, np.int64) for _ in range(2)))
+    grams = np.arange(len(words) - WORD_GRAM + 1)
+    core = _least(_Hashes(words, 0).of(grams, grams + WORD_GRAM, 11), PASSAGE - WORD_GRAM + 1)
+    lo = np.flatnonzero(np.concatenate([[True], core[1:] != core[:-1]]))
+    n = np.diff(np.append(lo, total))
+    whole = _Hashes(words, 1).of(lo, lo + n + PASSAGE - 1, 12)
+    return lo.astype(np.int32), n.astype(np.int32), core[lo].view(np.int64), whole.view(np.int64)
+
+
+def passage_hashes(text: bytes, lo: np.ndarray, n: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows of the segments lo to lo + n: their starts, both hashes, and ``many`` of their segment."""
+    if not len(lo):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    words = word_hashes(text)
+    x = np.concatenate([np.arange(a, a + k) for a, k in zip(lo, n)])
+    a, b = (_Hashes(words, which).of(x, x + PASSAGE, 13 + which).view(np.int64) for which in (0, 1))
+    return x, a, b, np.repeat(many.astype(bool), n)
+
+
 def covered(starts_lo: np.ndarray, counts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by the windows that start in lo to lo + count."""
     order = np.argsort(starts_lo, kind="stable")
@@ -228,33 +280,47 @@ def _settled(rows: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def _runs(column: pa.Array) -> list[list[np.ndarray]]:
-    """The fields (lo, n and maybe pad) of each list of runs, an array each."""
-    fields = [f.name for f in column.type.value_type]
-    return [[np.array([s[f] for s in v or ()], np.int64) for f in fields] for v in column.to_pylist()]
+def _runs(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The fields (lo, n and maybe a third) of each list of runs, an array each."""
+    sizes = np.array([k or 0 for k in pc.list_value_length(column).to_pylist()], np.int64)
+    ends = np.cumsum(sizes)
+    fields = [f.to_numpy(zero_copy_only=False).astype(np.int64) for f in column.flatten().flatten()]
+    for end, size in zip(ends, sizes):
+        yield [f[end - size : end] for f in fields]
 
 
-def shared_lines(texts: DataFrame) -> DataFrame:
-    """(rid, n_shared_lines): lines of over LONG_LINE words that stand in another row's text, too, for rows (rid, body) that have any."""
-    lines = F.filter(F.split(F.col("body").cast("string"), "\n", -1), lambda x: F.size(F.split(F.trim(x), r"\s+")) > LONG_LINE)
-    each = texts.select("rid", F.explode(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))).alias("l")).select("rid", "l.*")
-    seen = each.groupBy("a", "b").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo != hi").select("a", "b")
-    return each.join(seen, ["a", "b"], "left_semi").groupBy("rid").agg(F.count("*").alias("n_shared_lines"))
+def _shared_passages(rows: DataFrame) -> DataFrame:
+    """(rid, told, ask) of segments (rid, lo, n, core, whole) of passages: those that two documents have, and those whose windows must be listed.
+
+    Of an extent that two documents have one representative is listed, marked ``many``, so that others find its windows."""
+    cores = rows.groupBy("core").agg(F.min("rid").alias("r0"), F.max("rid").alias("r1"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("r0 != r1")
+    cores = write_table(cores.select("core", (F.col("w0") == F.col("w1")).alias("same")), "passage-cores", compression="zstd")
+    again = write_table(rows.join(cores, "core"), "passages", compression="zstd")
+    drop_table(cores)
+    mixed = again.where("not same").select("rid", "lo", "n", "core", "whole")
+    extents = mixed.groupBy("core", "whole").agg((F.min("rid") != F.max("rid")).alias("many"), F.min(F.struct("rid", "lo")).alias("head"))
+    each = mixed.join(extents, ["core", "whole"]).select("rid", "lo", "n", "many", (~F.col("many") | (F.col("head.rid") == F.col("rid")) & (F.col("head.lo") == F.col("lo"))).alias("ask"))
+    every = again.where("same").select("rid", "lo", "n", F.lit(True).alias("many"), F.lit(False).alias("ask")).unionByName(each)
+    parts = every.groupBy("rid").agg(F.collect_list(F.when(F.col("many"), F.struct("lo", "n"))).alias("told"), F.collect_list(F.when(F.col("ask"), F.struct("lo", "n", "many"))).alias("ask"))
+    out = write_table(parts, "passages-told", compression="zstd")
+    drop_table(again)
+    return out
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, carry: list[str] | None = None) -> DataFrame:
-    """One row per document: row, n_bytes, spans (array of [start, end) in bytes, removed), kept_sha256 (of the bytes left), n_shared_lines."""
+    """One row per document: row, n_bytes, spans (array of [start, end) in bytes, removed), kept_sha256 (of the bytes left), n_shared_words."""
     source = docs.select(
         F.struct(*[docs[c] for c in (carry or docs.columns)]).alias("row"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("body")
     )
     base = write_table(source.withColumn("rid", F.monotonically_increasing_id()), "texts", compression="zstd")
     parsed = T.StructType([T.StructField("rid", T.LongType()), T.StructField("lo", _INTS), T.StructField("n", _INTS), T.StructField("pad", _INTS), T.StructField("core", _LONGS), T.StructField("whole", _LONGS)])
+    both = T.StructType([*parsed, *(T.StructField(f"word_{c}", k) for c, k in (("lo", _INTS), ("n", _INTS), ("core", _LONGS), ("whole", _LONGS)))])
     kinds = [pa.int32()] * 3 + [pa.int64()] * 2
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            found = zip(*(segments(t.as_py(), length) for t in b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(_lists(c, k) for c, k in zip(found, kinds))], names=parsed.names)
+            found = zip(*((*segments(text, length), *passages(text)) for text in (t.as_py() for t in b.column(1))))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(_lists(c, k) for c, k in zip(found, [*kinds, *kinds[1:]]))], names=both.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -265,43 +331,55 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, c
         return df.select("rid", F.explode(F.arrays_zip("lo", "n", "pad", "core", "whole")).alias("s")).select("rid", "s.*")
 
     texts = base.select("rid", "body")
-    parse_table = write_table(texts.mapInArrow(parse, parsed), "parse", compression="zstd")
+    parse_table = write_table(texts.mapInArrow(parse, both), "parse", compression="zstd")
     first = _settled(flat(parse_table), "segments")
+    words = parse_table.select("rid", F.explode(F.arrays_zip(*(F.col(f"word_{c}").alias(c) for c in ("lo", "n", "core", "whole")))).alias("s"))
+    shared = _shared_passages(words.select("rid", "s.*"))
     drop_table(parse_table)
     open_ = first.where("size(open) > 0").select("rid", "open")
     block_table = write_table(texts.join(open_, "rid").select("rid", "body", "open").mapInArrow(cut, parsed), "blocks", compression="zstd")
     second = _settled(flat(block_table), "fine")
     drop_table(block_table)
 
-    listed = T.StructType([T.StructField("rid", T.LongType()), T.StructField("x", _INTS), T.StructField("a", _LONGS), T.StructField("b", _LONGS)])
+    listed = T.StructType([
+        T.StructField("rid", T.LongType()), T.StructField("x", _INTS), T.StructField("a", _LONGS), T.StructField("b", _LONGS),
+        T.StructField("word_x", _INTS), T.StructField("word_a", _LONGS), T.StructField("word_b", _LONGS), T.StructField("many", T.ArrayType(T.BooleanType())),
+    ])
+    listed_kinds = [pa.int32(), pa.int64(), pa.int64()] * 2 + [pa.bool_()]
 
     def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            found = zip(*(window_hashes(t.as_py(), *runs[:2], length) for t, runs in zip(b.column(1), _runs(b.column(2)))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(_lists(c, k) for c, k in zip(found, [pa.int32(), pa.int64(), pa.int64()]))], names=listed.names)
+            rows = zip((t.as_py() for t in b.column(1)), _runs(b.column(2)), _runs(b.column(3)))
+            found = zip(*((*window_hashes(text, *runs[:2], length), *passage_hashes(text, *ask)) for text, runs, ask in rows))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(_lists(c, k) for c, k in zip(found, listed_kinds))], names=listed.names)
 
-    open_ = second.where("size(open) > 0").select("rid", "open")
-    windows = write_table(texts.join(open_, "rid").select("rid", "body", "open").mapInArrow(list_windows, listed), "windows", compression="zstd")
+    open_ = second.where("size(open) > 0").select("rid", "open").join(shared.where("size(ask) > 0").select("rid", "ask"), "rid", "full")
+    windows = write_table(texts.join(open_, "rid").select("rid", "body", "open", "ask").mapInArrow(list_windows, listed), "windows", compression="zstd")
     single = windows.select("rid", F.explode(F.arrays_zip("x", "a", "b")).alias("s")).select("rid", "s.*")
     twice = single.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1").select("a", "b")
     third = write_table(single.join(twice, ["a", "b"]).groupBy("rid").agg(F.collect_list(F.struct(F.col("x").alias("lo"), F.lit(1).alias("n"))).alias("hits")), "hits")
+    single = windows.select("rid", F.explode(F.arrays_zip(F.col("word_x").alias("x"), F.col("word_a").alias("a"), F.col("word_b").alias("b"), "many")).alias("s")).select("rid", "s.*")
+    twice = single.groupBy("a", "b").agg(F.min("rid").alias("r0"), F.max("rid").alias("r1"), F.max("many").alias("known")).where("known or r0 != r1").select("a", "b")
+    more = write_table(single.where("not many").join(twice, ["a", "b"]).groupBy("rid").agg(F.collect_list(F.struct(F.col("x").alias("lo"), F.lit(1).alias("n"))).alias("told")), "told")
     drop_table(windows)
 
-    hits = reduce(DataFrame.unionByName, [t.select("rid", "hits") for t in (first, second, third)]).where("size(hits) > 0")
-    hits = write_table(hits.groupBy("rid").agg(F.flatten(F.collect_list("hits")).alias("hits")).join(shared_lines(texts), "rid", "full"), "all-hits", compression="zstd")
+    none = F.lit(None).cast(third.schema["hits"].dataType)
+    hits = [t.select("rid", "hits", none.alias("told")) for t in (first, second, third)] + [t.select("rid", none.alias("hits"), "told") for t in (shared, more)]
+    hits = reduce(DataFrame.unionByName, hits).where("size(hits) > 0 or size(told) > 0")
+    hits = write_table(hits.groupBy("rid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "told"))), "all-hits", compression="zstd")
     row = source.schema["row"]
-    out = T.StructType([row, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(_INTS)), T.StructField("kept_sha256", T.StringType()), T.StructField("n_shared_lines", T.LongType())])
+    out = T.StructType([row, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(_INTS)), T.StructField("kept_sha256", T.StringType()), T.StructField("n_shared_words", T.LongType())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            sizes, spans, shas = [], [], []
-            for body, (lo, n) in zip(b.column(1), _runs(b.column(2))):
-                text = body.as_py()
+            sizes, spans, shas, shared_words = [], [], [], []
+            for text, (lo, n), told in zip((t.as_py() for t in b.column(1)), _runs(b.column(2)), _runs(b.column(3))):
                 s = covered(lo, n, length)
                 sizes.append(len(text))
                 spans.append([list(x) for x in s])
                 shas.append(_kept_sha(text, s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(_I32)), pa.array(shas, pa.string()), b.column(3)], names=out.names)
+                shared_words.append(sum(y - x for x, y in covered(*told, PASSAGE)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(_I32)), pa.array(shas, pa.string()), pa.array(shared_words, pa.int64())], names=out.names)
 
-    told = base.join(hits, "rid", "left").select("row", "body", "hits", F.coalesce("n_shared_lines", F.lit(0)).cast("long").alias("n_shared_lines"))
+    told = base.join(hits, "rid", "left").select("row", "body", "hits", "told")
     return told.mapInArrow(finish, out)
