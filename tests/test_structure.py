@@ -131,6 +131,52 @@ def test_a_round_of_moves_is_one_job_without_shuffled_links(spark, monkeypatch):
     assert spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionSize") != community.LEAST_PART
 
 
+def planted_links():
+    rng = random.Random(4)
+    block = {f"v{i:03d}": i % 5 for i in range(100)}
+    return block, [(a, b) for a, b in itertools.combinations(block, 2) if rng.random() < (0.3 if block[a] == block[b] else 0.01)]
+
+
+def test_communities_write_few_tables(spark, monkeypatch):
+    """Nodes of a block move one after the other in its task, so a level of one block takes one round, and few tables are written."""
+    written, plain = [], community.write_table
+    monkeypatch.setattr(community, "write_table", lambda df, label, *more: written.append(label) or plain(df, label, *more))
+    block, edges = planted_links()
+    found = groups_of(community.communities(spark.createDataFrame(edges, EDGE)))
+    assert len(found) == 5 and all(len({block[v] for v in nodes}) == 1 for nodes in found.values())
+    assert len(written) < 25 and written.count("moves") <= 6
+
+
+def test_communities_over_many_blocks(spark, monkeypatch):
+    """Small blocks, communities and a hub larger than a block: still connected, whole and good."""
+    monkeypatch.setattr(community, "BLOCK_LINKS", 64)
+    monkeypatch.setattr(community, "FAN_LINKS", 4)
+    block, edges = planted_links()
+    leaves = [("hub", f"leaf{i:02d}") for i in range(80)]
+    edges += leaves + [("v000", "hub")]
+    df = spark.createDataFrame(edges, EDGE)
+    members = community.communities(df).cache()
+    found, links = groups_of(members), set(edges)
+    assert sorted(v for nodes in found.values() for v in nodes) == sorted({v for e in edges for v in e})
+    assert all(connected(nodes, links) and name == min(nodes) for name, nodes in found.items())
+    assert next(nodes for nodes in found.values() if "hub" in nodes) >= {b for _, b in leaves}
+    planted = spark.createDataFrame([(v, str(c)) for v, c in block.items()] + [(v, "hub") for v in ["hub", *(b for _, b in leaves)]], "node string, community string")
+    assert community.modularity(df, members) >= community.modularity(df, planted) - 0.02
+
+
+@pytest.mark.parametrize("most", [1 << 20, 4])
+def test_refinement_joins_over_links_only(spark, monkeypatch, most):
+    """Parts of a community of two pieces keep to their pieces, whether it fits a task or not."""
+    monkeypatch.setattr(community, "BLOCK_LINKS", most)
+    pieces = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)]
+    rows = [(u, v, 1) for a, b in pieces for u, v in ((a, b), (b, a))] + [(v, v, 0) for v in range(6)]
+    level = community._level(spark.createDataFrame([(u, v, w, 2, 2) for u, v, w in rows], "u long, v long, w long, k long, d long"))
+    label = spark.createDataFrame([(v, 0, 2, 2) for v in range(6)], "node long, c long, k long, d long")
+    parts, n = community._refined(level, label, 12.0, 1.0)
+    got = {r.node: r.part for r in parts.collect()}
+    assert n == len(set(got.values())) < 6 and all(got[p] == p and p // 3 == v // 3 for v, p in got.items())
+
+
 def typed(spark, own, imports, assigns=None, **more):
     frame = lambda rows, cols: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
     given = None if assigns is None else frame(assigns, ["module", "name", "source_name"])
